@@ -15,6 +15,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomset.llm import mpeg
+
+    return mpeg.report(mpeg.read(mpeg.store(table(spark, sf_dir, "documents"))))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomset.llm import secret_scan
+
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op")}
 
