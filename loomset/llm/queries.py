@@ -15,6 +15,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomset.llm import pii
+
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomset.llm import mpeg
 
