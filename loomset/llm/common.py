@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession) -> None:
-    """Bounds the memory of a Python worker's batch, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bounds the memory of a Python worker's batch, whatever the length of the texts. Read when a plan starts to run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:

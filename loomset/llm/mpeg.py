@@ -26,6 +26,9 @@ BITRATES = {
 #: Hz by index, for MPEG-1, 2 and 2.5.
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000, 8000)}
 
+#: Rows of an Arrow batch: texts, streams and payloads of two stages stand in memory together.
+ROWS = 32
+
 BLOCK = 576  # bytes of payload, and samples, of a frame
 _OVERHEAD = 4 + 2 + 9  # header, checksum, side information of a mono MPEG-2 frame
 #: MPEG-2 layer III, protected, 144 kbit/s (index 13), 16 kHz (index 2), mono: frames of 648 bytes and 576 samples.
@@ -199,7 +202,7 @@ def _table(data: bytes, at: int, length: int, side: int) -> tuple[int | None, in
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and media (binary) of each row of `docs`: its whole text as UTF-8, padded, in MPEG audio frames. Null texts count as empty."""
-    common.tune(docs.sparkSession)
+    common.tune(docs.sparkSession, ROWS)
     schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +223,7 @@ def read(media: DataFrame) -> DataFrame:
     """
     import hashlib
 
-    common.tune(media.sparkSession)
+    common.tune(media.sparkSession, ROWS)
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int32()] + [pa.int64()] * 6
     schema = pa.schema(list(zip([x.split()[0] for x in READ.split(", ")], kinds)))
 
