@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from loomset.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomset.llm import quality
+
+    found = quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomset.llm import simhash
 
@@ -27,6 +34,14 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.report(mpeg.read(mpeg.store(table(spark, sf_dir, "documents"))))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomset.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomset.llm import secret_scan
 
