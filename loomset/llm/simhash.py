@@ -173,7 +173,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each group, in the columns of `docs`. Of rows that share that id, one stays."""
-    first = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    held = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept_id"]), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    """The row with the smallest doc_id of each group, in the columns of `docs`. Of rows that share that id, one stays.
+
+    The rows meet their group's decision, and their repeats, in one shuffle by id; null ids go by a key of their own.
+    """
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    first = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias("_kept_id"))
+    keyed = docs.withColumn("_kept_id", key(F.col("doc_id").cast("long")))
+    return keyed.join(first, "_kept_id", "left_semi").dropDuplicates(["_kept_id"]).select(*docs.columns)
