@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loomset.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomset.llm import lm_score
+
+    return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomset.llm import quality
 
