@@ -28,11 +28,26 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def cut(item: str, errors: int) -> list[tuple[int, str]]:
-    """errors + 1 pieces of nearly one length, with their places: one of them stands unchanged in any text within the budget."""
-    n = errors + 1
-    bounds = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in zip(bounds, bounds[1:])]
+def cut(item: str, errors: int) -> list[tuple[str, int, list[tuple[int, int, int]]]]:
+    """errors + 1 pieces, one of which stands unchanged in any text within the budget: (piece, place, the parts around it).
+
+    A part with a budget of k is halved, with budgets that sum to k - 1: one half or the other keeps its own. So some unchanged
+    piece lies in parts (start, end, budget), here from the smallest to the whole item, each of which keeps its budget there.
+    """
+    out = []
+
+    def halve(start: int, end: int, k: int, around: list[tuple[int, int, int]]) -> None:
+        if k == 0:
+            out.append((item[start:end], start, around))
+            return
+        around = [(start, end, k), *around]
+        left = (k - 1) // 2
+        middle = start + (end - start) * (left + 1) // (k + 1)
+        halve(start, middle, left, around)
+        halve(middle, end, k - 1 - left, around)
+
+    halve(0, len(item), errors, [])
+    return out
 
 
 def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -83,10 +98,10 @@ class Items:
         self.__init__(**state)
 
     def build(self) -> ahocorasick.Automaton:
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, int, list[tuple[int, int, int]]]]] = {}
         for i, (text, errors) in enumerate(zip(self.texts, self.budget)):
-            for place, piece in cut(text, errors):
-                where.setdefault(piece, []).append((i, place))
+            for piece, place, around in cut(text, errors):
+                where.setdefault(piece, []).append((i, place, around))
         out = ahocorasick.Automaton()
         for piece, uses in where.items():
             out.add_word(piece, (len(piece), uses))
@@ -94,34 +109,33 @@ class Items:
         return out
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, distance, end in the normalised text) of the best match of each item in a normalised text."""
+        """(item, distance, end in the normalised text) of the best match of each item in a normalised text.
+
+        From each hit of a piece the parts around it are verified, the smallest first, until one is beyond its budget.
+        """
         if not self.texts:
             return []
         if self.automaton is None:
             self.automaton = self.build()
-        windows: dict[int, list[list[int]]] = {}
+        found: dict[int, tuple[int, int]] = {}
         for last, (size, uses) in self.automaton.iter(text):
-            for i, place in uses:
-                k, start = self.budget[i], last + 1 - size - place
-                lo, hi = max(0, start - k), start + len(self.texts[i]) + k
-                held = windows.setdefault(i, [])
-                if held and lo <= held[-1][1] and hi >= held[-1][0]:
-                    held[-1][0], held[-1][1] = min(lo, held[-1][0]), max(hi, held[-1][1])
+            for i, place, around in uses:
+                held = found.get(i)
+                if held and held[0] == 0:
+                    continue
+                item, origin = self.texts[i], last + 1 - size - place
+                if origin >= 0 and text.startswith(item, origin):
+                    found[i] = 0, origin + len(item)
+                    continue
+                for start, end, k in around:
+                    lo = max(0, origin + start - k)
+                    got = myers(item[start:end], text[lo : origin + end + k], k)
+                    if got is None:
+                        break
                 else:
-                    held.append([lo, hi])
-        found = []
-        for i, spans in windows.items():
-            best = None
-            for lo, hi in spans:
-                if (at := text.find(self.texts[i], lo, hi)) >= 0:
-                    best = 0, at + len(self.texts[i])
-                    break
-                got = myers(self.texts[i], text[lo:hi], self.budget[i])
-                if got and (best is None or got[0] < best[0]):
-                    best = got[0], got[1] + lo
-            if best:
-                found.append((i, *best))
-        return found
+                    if around and (held is None or got[0] < held[0]):
+                        found[i] = got[0], got[1] + lo
+        return [(i, *x) for i, x in found.items()]
 
 
 def _blocks(benchmark: DataFrame, rate: float) -> Iterator[Items]:
