@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,39 +20,69 @@ from loomset.llm import common
 
 CAPACITY = 4096
 END = 1
-_CACHE, _CACHE_BYTES = 300_000, 16_000_000  # words that a task remembers, and bytes of their ids
+_CACHE, _CACHE_BYTES = 400_000, 16_000_000  # words that a task remembers, and bytes of their ids
 _SALTS = 4096  # parts of the pieces of one length that are numbered apart
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?*%$&#|]*)")
+#: Words on which the short way must give what the tokenizer gives, or it isn't used.
+_PROBES = ("The", "the.", "ÉCOLE,", "straße!!", "a", "AndANothEr***", "ciónque;", "x%%%", "Größe?", "ththeon|", "ÿÿ$$$", "don.", "s,", "re:", "qqqzzzxx&&&")
+
+
 class Tokens:
     """Token ids of texts by a tokenizer file whose tokens never cross ASCII white space.
 
-    A text is split there and each word's ids are remembered, since words repeat; what a text has of the tokenizer's special
-    strings is left to the tokenizer. Words are tokenized in batches.
+    A text is split there and each word's ids are remembered, since words repeat; what has one of the tokenizer's special
+    strings is left to the tokenizer. Where the tokenizer lower-cases and parts letters from signs, which is tried with
+    _PROBES, a word of Latin-1 letters and signs after them is looked up as the two, and new letters go straight to the model.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.room = 0
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha() and c == c.lower()]
+        self.spelling = str.maketrans({c: spelled.pre_tokenize_str(c)[0][0] for c in letters})
+        self.short = True
+        self.short = all(self._new(w) == self._ids(w) for w in _PROBES)
+        self.cores.clear()
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        found = _PLAIN.fullmatch(word) if self.short else None
+        if not found:
+            return self._ids(word)
+        core, signs = found[1].lower(), found[2]
+        ids = self.cores.get(core)
+        if ids is None:
+            ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(core.translate(self.spelling))]).tobytes()
+            self.room += len(ids)
+        if signs:
+            more = self.cores.get(signs)
+            if more is None:
+                more = self.cores[signs] = self._ids(signs)
+            ids += more
+        return ids
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE or self.room > _CACHE_BYTES:
             self.known, self.room = {}, 0
+        if len(self.cores) > _CACHE:
+            self.cores = {}
         split = [None if any(s in t for s in self.special) else _words(t) for t in texts]
-        new = list({w for words in split if words for w in words}.difference(self.known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-                self.room += len(self.known[word])
+        for word in {w for words in split if words for w in words}.difference(self.known):
+            self.known[word] = ids = self._new(word)
+            self.room += len(ids)
         get = self.known.__getitem__
         return [self._ids(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
@@ -63,6 +95,12 @@ def _words(text: str) -> list[str]:
     return text.split() if text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text else [w for w in _SPLIT.split(text) if w]
 
 
+@cache
+def _tokens(path: str) -> Tokens:
+    """One for a worker's life: what it remembers serves its later tasks."""
+    return Tokens(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(tokenizer), np.array([END], "<u4").tobytes()
+        tokens, end = _tokens(tokenizer), np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.batch(common.texts_of(batch))):
