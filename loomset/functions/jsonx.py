@@ -8,11 +8,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FENCE = re.compile(r"```(?P<lang>[A-Za-z0-9_+-]*)[ \t]*\n?(?P<body>.*?)```", re.S)
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _CLOSER = {"{": "}", "[": "]"}
-RECOVERED = "struct<ok: boolean, format: string, json: string, error_type: string>"
+RECOVERED = T.StructType([T.StructField("ok", T.BooleanType()), *(T.StructField(n, T.StringType()) for n in ("format", "json", "error_type"))])
 
 
 def _brackets(text: str) -> tuple[int | None, list[str] | None]:
@@ -110,7 +111,7 @@ def _recover_rest(raw: pd.Series) -> pd.DataFrame:
 def recovered(df: DataFrame, raw: str) -> DataFrame:
     """Adds `parsed`. Valid JSON is settled by built-ins; only the rest reaches Python."""
     text = F.trim(F.coalesce(F.col(raw), F.lit("")))
-    good = F.is_variant_null(F.try_parse_json(text)).isNotNull() & text.rlike(r"^[\[{]")
+    good = F.try_parse_json(text).isNotNull() & text.rlike(r"^[\[{]")
     easy = F.when(good, F.struct(F.lit(True).alias("ok"), F.lit("json").alias("format"), text.alias("json"), F.lit(None).cast("string").alias("error_type")))
     marked = df.withColumn("parsed", easy)
     rest = marked.where("parsed is null").withColumn("parsed", _recover_rest(F.col(raw)))
