@@ -17,14 +17,15 @@ from loomset.llm import common
 
 ADD = 0.1
 #: Tokens with at least a HEAD-th of all are sent to every task: there can be no more than HEAD of them.
-HEAD = 1 << 18
-CLASSES, WORDS = 32, 32  # the most frequent CLASSES x WORDS tokens have classes; all others form one more
+HEAD = 1 << 20
+CLASSES, WORDS = 16, 32  # the most frequent CLASSES x WORDS tokens have classes; all others form one more
 ROUNDS = 2  # each takes another share of the training documents, together all
 FEATURES = 3
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
-RATE = 0.15
+RATE = 0.2
 _BLOCKS = 512  # pieces in which tasks hand over their updates
-_STEP = 4096  # tokens of a gradient step, or of a scoring step
+_STEP = 4096  # tokens that are scored at once
+_LEARN = 16384  # tokens of a gradient step
 _COUNTED = 400_000  # distinct tokens that a task counts before it hands them on
 _OOV = 1 << 20
 
@@ -140,16 +141,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _gathered(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sums of the features' rows."""
+    out = weights[rows[:, 0]]
+    for j in range(1, FEATURES):
+        out += weights[rows[:, j]]
+    return out
+
+
 def _forward(model: Model, ids: np.ndarray, hashes: np.ndarray) -> tuple:
     """Class probabilities of each token; of those with a class, which they are, and word probabilities in it."""
     classed = ids < CLASSES * WORDS
     cls = np.where(classed, ids % CLASSES, CLASSES)
     rows = _rows(hashes)
-    p = _softmax(model.class_weights[rows].sum(1) + model.class_prior)
+    p = _softmax(_gathered(model.class_weights, rows) + model.class_prior)
     where = np.flatnonzero(classed)
     word, own = ids[where] // CLASSES, cls[where]
     word_rows = _rows(hashes[where], own)
-    q = _softmax(model.word_weights[word_rows].sum(1) + model.word_prior[own])
+    q = _softmax(_gathered(model.word_weights, word_rows) + model.word_prior[own])
     return cls, rows, p, where, word, word_rows, q
 
 
@@ -175,22 +184,30 @@ class Learner:
         self.seen = [np.zeros(len(w)) for w in self.first]
 
     def _down(self, which: int, weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """One AdaGrad step: the gradients of each row's tokens are summed (running sums of the sorted tokens, their differences at the rows' ends)."""
         flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
-        if not len(starts):
+        if not len(flat):
             return
-        summed = np.add.reduceat(gradient[order // FEATURES], starts, axis=0)
-        touched = flat[starts]
-        self.seen[which][touched] += np.diff([*starts, len(flat)])
-        square = self.squares[which][touched] + summed * summed
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort: there are at most 2^16 rows
+        flat = flat[order]
+        ends = np.flatnonzero(np.concatenate([flat[1:] != flat[:-1], [True]]))
+        running = gradient[order // FEATURES]
+        np.cumsum(running, axis=0, out=running)
+        summed = running[ends]
+        summed[1:] -= running[ends[:-1]]
+        touched = flat[ends]
+        self.seen[which][touched] += np.diff(ends, prepend=-1)
+        square = self.squares[which][touched]
+        square += summed * summed
         self.squares[which][touched] = square
-        weights[touched] -= RATE * summed / np.sqrt(square)
+        np.sqrt(square, out=square)
+        summed *= RATE
+        summed /= square
+        weights[touched] -= summed
 
     def learn(self, ids: np.ndarray, hashes: np.ndarray) -> None:
-        for at in range(0, len(ids), _STEP):
-            cls, rows, p, where, word, word_rows, q = _forward(self.model, ids[at : at + _STEP], hashes[at : at + _STEP])
+        for at in range(0, len(ids), _LEARN):
+            cls, rows, p, where, word, word_rows, q = _forward(self.model, ids[at : at + _LEARN], hashes[at : at + _LEARN])
             p[np.arange(len(cls)), cls] -= 1
             self._down(0, self.model.class_weights, rows, p)
             q[np.arange(len(where)), word] -= 1
@@ -278,22 +295,29 @@ def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
             words = [words_of(t) for t in common.texts_of(batch)]
             docs_ids = [ids_of.of(w) for w in words]
             found = log10_head(model, *histories(docs_ids))
-            columns: list[list] = [[] for _ in names]
+            tokens, times, n_rest, sums = [], [], [], []
             at = 0
-            for doc_id, h, own, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words, docs_ids):
+            for own, ids, h in zip(words, docs_ids, batch.column(1).to_pylist()):
                 head = ids[ids < n]
                 unclassed = head[head >= CLASSES * WORDS]
-                score = found[at : at + len(ids)].sum() + logs[unclassed].sum() - model.rest_log * len(unclassed)
+                tail = Counter([own[i] for i in np.flatnonzero(ids >= n).tolist()])
+                model_sum = found[at : at + len(ids)].sum() + logs[unclassed].sum() - model.rest_log * (len(unclassed) + len(ids) - len(head))
                 at += len(ids)
-                tail = Counter(own[i] for i in np.flatnonzero(ids >= n).tolist())
-                rest = len(ids) - len(head)
-                base = logs[head].sum() - model.base_log * len(ids)
-                for column, value in zip(columns, (doc_id, h, b" %d" % h, 0, len(ids), len(head), float(base), float(score) - model.rest_log * rest)):
-                    column.append(value)
-                m = len(tail)
-                for column, values in zip(columns, ([doc_id] * m, [h] * m, tail.keys(), tail.values(), [0] * m, [0] * m, [0.0] * m, [0.0] * m)):
-                    column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                sums.append((len(ids), len(head), logs[head].sum() - model.base_log * len(ids), model_sum))
+                n_rest.append(len(tail))
+                tokens.append(b" %d" % h)
+                tokens.extend(tail)
+                times.append(0)
+                times.extend(tail.values())
+            each = np.array(n_rest) + 1
+            first = np.cumsum(each) - each
+            whose = pa.array(np.repeat(np.arange(len(each)), each))
+            columns = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(tokens, pa.binary()), pa.array(times, pa.int64())]
+            for values, kind in zip(zip(*sums), (np.int64, np.int64, np.float64, np.float64)):
+                column = np.zeros(len(tokens), kind)
+                column[first] = values
+                columns.append(pa.array(column))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.col("text").cast("string").alias("text")).mapInArrow(run, _HEAD_ROWS)
 
