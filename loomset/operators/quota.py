@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def select_diverse(df: DataFrame, order: Sequence[Column], group: str, domain: str, total: int, per_group: int, domain_share: float) -> DataFrame:
@@ -51,5 +52,5 @@ def _greedy(df: DataFrame, order: Sequence[Column], group: str, domain: str, tot
             second.append(row)
             groups[row[group]] += 1
     rows = [(*r, p, i + 1) for i, (r, p) in enumerate([(r, 1) for r in first] + [(r, 2) for r in second])]
-    schema = df.schema.add("pass", "int").add("position", "int")
+    schema = T.StructType([*df.schema.fields, T.StructField("pass", T.IntegerType()), T.StructField("position", T.IntegerType())])
     return df.sparkSession.createDataFrame(rows, schema)
