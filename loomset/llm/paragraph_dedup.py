@@ -24,7 +24,7 @@ WINDOW = 26
 _FILTER_BITS = 24  # of the filter for paragraphs that collide: 2 MB
 _CACHE = 300_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NO_ID = -(1 << 63)
@@ -60,9 +60,9 @@ class WordHashes(dict):
         return h
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n words in a row (polynomial in the words' hashes)."""
-    powers = _BASE ** np.arange(n, dtype=np.uint64)
+def grams(hashes: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """A 64-bit hash of every n words in a row (polynomial in the words' hashes); of all words where there are fewer."""
+    powers = base ** np.arange(n, dtype=np.uint64)
     if len(hashes) < n:
         return (hashes * powers[: len(hashes)]).sum(keepdims=True, dtype=np.uint64) if len(hashes) else np.empty(0, np.uint64)
     total = np.zeros(len(hashes) - n + 1, np.uint64)
@@ -76,8 +76,7 @@ def bands(shingles: np.ndarray) -> bytes:
     a, b = _permutations()
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096, None] * a + b
-        np.minimum(low, (part ^ (part >> np.uint64(29))).min(0), out=low)
+        np.minimum(low, (shingles[at : at + 4096, None] * a + b).min(0), out=low)
     low = low.reshape(BANDS, ROWS)
     mixed = np.zeros(BANDS, np.uint64)
     for i in range(ROWS):
@@ -85,15 +84,34 @@ def bands(shingles: np.ndarray) -> bytes:
     return (mixed ^ (mixed >> np.uint64(32))).astype("<u8").tobytes()
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places of the least hash in each WINDOW neighbours (Schleimer et al. 2003, winnowing), each once."""
-    gram = grams(hashes, MIN_WORDS) if len(hashes) >= MIN_WORDS else np.empty(0, np.uint64)
+def _rolling(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The least or greatest of every `width` neighbours, by doubling."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = best(out[: len(out) - step], out[step:])
+        done += step
+    return out
+
+
+def anchors(gram: np.ndarray) -> np.ndarray:
+    """Places of the hashes that are least in some WINDOW neighbours (Schleimer et al. 2003, winnowing); of equal neighbours the first.
+
+    A hash is least in a window that it lies in if it equals the greatest of those windows' least hashes.
+    """
     if not len(gram):
         return np.empty(0, np.int64)
     wide = min(WINDOW, len(gram))
-    windows = np.lib.stride_tricks.sliding_window_view(gram, wide)
-    out = [np.unique(windows[at : at + 8192].argmin(1) + np.arange(at, min(at + 8192, len(windows)))) for at in range(0, len(windows), 8192)]
-    return np.unique(np.concatenate(out))
+    low = _rolling(gram, wide, np.minimum)
+    padded = np.concatenate([np.zeros(wide - 1, np.uint64), low, np.zeros(wide - 1, np.uint64)])
+    chosen = _rolling(padded, wide, np.maximum) == gram
+    chosen[1:] &= gram[1:] != gram[:-1]
+    return np.flatnonzero(chosen)
+
+
+def line_key(words: list[bytes]) -> tuple[int, int]:
+    n = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)
 
 
 class Text:
@@ -109,19 +127,13 @@ class Text:
         cuts = np.searchsorted(self.start, np.flatnonzero(data == 0x0A))
         bounds = np.unique(np.concatenate([[0], cuts, [len(self.words)]])).tolist()
         self.lines = [(a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= MIN_WORDS]
-        self.points = None if len(raw) == len(text) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-
-    def place(self, first: int, after: int) -> tuple[int, int]:
-        """Code points of a range of words."""
-        s, e = int(self.start[first]), int(self.end[after - 1])
-        return (s, e) if self.points is None else (int(self.points[s]), int(self.points[e]))
-
-    def key(self, first: int, after: int) -> tuple[int, int]:
-        n = xxhash.xxh3_128_intdigest(b" ".join(self.words[first:after]))
-        return (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)
+        if len(raw) != len(text):  # places in code points
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            self.start, self.end = points[self.start], points[self.end]
+        self.fives = grams(self.hashes, SHINGLE) if self.lines else None
 
     def shingles(self, first: int, after: int) -> np.ndarray:
-        return np.unique(grams(self.hashes[first:after], SHINGLE))
+        return np.unique(self.fives[first : after - SHINGLE + 1])
 
 
 UNITS = "doc_id long, kind string, start int, end int, words int, k1 long, k2 long, bands binary"
@@ -137,22 +149,27 @@ def units(docs: DataFrame) -> DataFrame:
     kinds = (pa.int64(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.binary())
     schema = pa.schema(list(zip([x.split()[0] for x in UNITS.split(", ")], kinds)))
 
-    def of(doc_id: int, text: str, cache_: WordHashes) -> Iterator[tuple]:
-        t = Text(text, cache_)
-        for a, b in t.lines:
-            yield doc_id, "paragraph", *t.place(a, b), b - a, *t.key(a, b), bands(t.shingles(a, b))
-        seen = set()
-        for a in anchors(t.hashes).tolist():
-            key = t.key(a, a + MIN_WORDS)
-            if key not in seen:
-                seen.add(key)
-                yield doc_id, "anchor", *t.place(a, a + MIN_WORDS), MIN_WORDS, *key, None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache_ = WordHashes()
         for batch in batches:
-            rows = (r for i, t in zip(batch.column(0).to_pylist(), common.texts_of(batch)) for r in of(i, t, cache_))
+            rows, parts = [], []
+            for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), common.texts_of(batch))):
+                t = Text(text, cache_)
+                for a, b in t.lines:
+                    rows.append((doc_id, "paragraph", int(t.start[a]), int(t.end[b - 1]), b - a, *line_key(t.words[a:b]), bands(t.shingles(a, b))))
+                if len(t.hashes) >= MIN_WORDS:
+                    gram = grams(t.hashes, MIN_WORDS)
+                    places = anchors(gram)
+                    places = places[np.sort(np.unique(gram[places], return_index=True)[1])]  # a document's repeats of its own count once
+                    other = grams(t.hashes, MIN_WORDS, _OTHER)[places]
+                    parts.append((np.full(len(places), at), t.start[places], t.end[places + MIN_WORDS - 1], gram[places], other))
             yield from common.batches(rows, schema)
+            if parts:
+                whose, start, end, k1, k2 = (np.concatenate(x) for x in zip(*parts))
+                n = len(whose)
+                columns = [batch.column(0).take(pa.array(whose)), pa.array(["anchor"]).take(pa.array(np.zeros(n, np.int32))), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(n, MIN_WORDS, np.int32))]
+                columns += [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return _plain(docs).mapInArrow(run, UNITS)
 
@@ -177,11 +194,10 @@ def _shingle_sets(docs: DataFrame, passes: np.ndarray) -> DataFrame:
         for batch in batches:
             rows = {}
             for text in common.texts_of(batch):
-                t = Text(text, cache_)
-                for a, b in t.lines:
-                    p = t.key(a, b)[0]
-                    if p not in rows and on[p % len(on)]:
-                        rows[p] = t.shingles(a, b).tobytes()
+                for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
+                    words = line.split()
+                    if len(words) >= MIN_WORDS and (p := line_key(words)[0]) not in rows and on[p % len(on)]:
+                        rows[p] = np.unique(grams(np.fromiter(map(cache_.__getitem__, words), np.uint64, len(words)), SHINGLE)).tobytes()
             yield from common.batches(iter(rows.items()), schema, 256)
 
     return _plain(docs).mapInArrow(run, "p long, shingles binary").groupBy("p").agg(F.any_value("shingles").alias("shingles"))

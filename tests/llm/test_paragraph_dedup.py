@@ -48,8 +48,10 @@ def test_hashes_are_those_of_plain_loops():
     g = [sum(int(h[i + j]) * pow(int(P._BASE), j, 2**64) for j in range(5)) % 2**64 for i in range(296)]
     assert P.grams(h, 5).tolist() == [x ^ (x >> 31) for x in g]
     k = P.grams(h, P.MIN_WORDS)
-    assert P.anchors(h).tolist() == sorted({i + int(np.argmin(k[i : i + P.WINDOW])) for i in range(len(k) - P.WINDOW + 1)})
-    assert len(P.anchors(h[:24])) == 0 and len(P.anchors(h[:25])) == 1
+    assert P.anchors(k).tolist() == sorted({i + int(np.argmin(k[i : i + P.WINDOW])) for i in range(len(k) - P.WINDOW + 1)})
+    assert len(P.anchors(k[:0])) == 0 and len(P.anchors(k[:1])) == 1 and P.anchors(np.full(90, 7, np.uint64)).tolist() == [0]
+    t = P.Text("É a\tb  c\n" + " ".join(map(str, range(30))) + "\nx", P.WordHashes())
+    assert t.words == "É a b c".encode().lower().split() + [b"%d" % i for i in range(30)] + [b"x"] and t.lines == [(4, 34)] and (t.start[1], t.end[1]) == (2, 3)
 
 
 def test_paragraphs_against_all_pairs(spark):
