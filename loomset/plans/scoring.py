@@ -86,9 +86,9 @@ def pool_features(issues: DataFrame) -> DataFrame:
     listed = lambda a, b: F.size(lists.parse_list(first_nonempty(c(a), c(b)))) > 0
     known = set(issues.columns)
     pair = lambda a, b: listed(a, b if b in known else a)
-    out = out.withColumn("cair_rule_score", rule_score(text_of("problem_statement"), c("_text"), c("has_patch"), c("has_test_patch"), c("has_file_gold"), c("has_function_gold"), c("patch_files_count"), text_of("hints_text"), pair("FAIL_TO_PASS", "fail_to_pass"), pair("PASS_TO_PASS", "pass_to_pass"), c("quality_risk_score")))
+    out = out.withColumn("rule_score", rule_score(text_of("problem_statement"), c("_text"), c("has_patch"), c("has_test_patch"), c("has_file_gold"), c("has_function_gold"), c("patch_files_count"), text_of("hints_text"), pair("FAIL_TO_PASS", "fail_to_pass"), pair("PASS_TO_PASS", "pass_to_pass"), c("quality_risk_score")))
     reject = c("docs_only") | tests_bad | ~c("has_patch") | c("likely_dependency_only") | c("likely_formatting_only")
-    out = out.withColumn("rule_label", label(reject, c("has_file_gold"), c("quality_risk_score"), c("patch_files_count"), text_of("problem_statement"), c("cair_rule_score")))
+    out = out.withColumn("rule_label", label(reject, c("has_file_gold"), c("quality_risk_score"), c("patch_files_count"), text_of("problem_statement"), c("rule_score")))
     rejected = c("rule_label") == "reject"
     out = out.withColumns({
         "rule_reject_reason": F.when(rejected, F.array_join("quality_risk_reasons", ";")).otherwise(""), "manual_override_label": F.when(rejected, "REJECT_OR_DOWNRANK").otherwise(""),
@@ -106,13 +106,13 @@ def _rank(c: Column, table: Mapping[str, int], other: int) -> Column:
 
 def pool_order() -> list[Column]:
     """Label, score down, risk, files, id."""
-    return [_rank(F.col("rule_label"), _LABEL_RANK, 9), F.col("cair_rule_score").desc(), F.col("quality_risk_score"), F.col("patch_files_count"), F.col("instance_id")]
+    return [_rank(F.col("rule_label"), _LABEL_RANK, 9), F.col("rule_score").desc(), F.col("quality_risk_score"), F.col("patch_files_count"), F.col("instance_id")]
 
 
 def seed_order() -> list[Column]:
     """Label, risk, score down, source, files, id."""
     return [
-        _rank(F.col("rule_label"), {"candidate": 0, "manual_review": 1, "reject": 9}, 5), F.col("quality_risk_score"), F.col("cair_rule_score").desc(),
+        _rank(F.col("rule_label"), {"candidate": 0, "manual_review": 1, "reject": 9}, 5), F.col("quality_risk_score"), F.col("rule_score").desc(),
         _rank(F.col("source_name"), P.SOURCE_PRIORITY, 5), F.coalesce("patch_files_count", F.lit(999)), F.col("instance_id"),
     ]
 
@@ -120,7 +120,7 @@ def seed_order() -> list[Column]:
 def loader_order(golden: str) -> list[Column]:
     """The golden instance, then as the seed's with risk first, then how many tests are to pass (more first), id."""
     return [
-        (F.col("instance_id") != golden).cast("int"), _rank(F.col("manual_override_label"), {"KEEP": 0, "": 1, "REJECT_OR_DOWNRANK": 9}, 1), F.col("quality_risk_score"), F.col("cair_rule_score").desc(),
+        (F.col("instance_id") != golden).cast("int"), _rank(F.col("manual_override_label"), {"KEEP": 0, "": 1, "REJECT_OR_DOWNRANK": 9}, 1), F.col("quality_risk_score"), F.col("rule_score").desc(),
         _rank(F.col("source_name"), P.SOURCE_PRIORITY, 3), F.coalesce("patch_files_count", F.lit(9999)), F.size(lists.parse_list(F.col("FAIL_TO_PASS"))).desc(), F.col("instance_id"),
     ]
 

@@ -130,7 +130,7 @@ def q07(t):
 @query("q08_pool_order_top100", f"WITH {_RISK} SELECT row_number() OVER (ORDER BY CASE label WHEN 'candidate' THEN 0 WHEN 'manual_review' THEN 1 ELSE 2 END, score DESC, risk, files, doc_id) AS position, doc_id FROM v ORDER BY position LIMIT 100")
 def q08(t):
     """The pool's order; a report of its first hundred (top-k before the numbering)."""
-    renamed = _labelled(t).select(F.col("doc_id").alias("instance_id"), F.col("label").alias("rule_label"), F.col("score").alias("cair_rule_score"), F.col("risk").alias("quality_risk_score"), F.col("files").alias("patch_files_count"))
+    renamed = _labelled(t).select(F.col("doc_id").alias("instance_id"), F.col("label").alias("rule_label"), F.col("score").alias("rule_score"), F.col("risk").alias("quality_risk_score"), F.col("files").alias("patch_files_count"))
     top = renamed.orderBy(*scoring.pool_order()).limit(100)
     return top.select(F.row_number().over(Window.orderBy(*scoring.pool_order())).cast("bigint").alias("position"), F.col("instance_id").alias("doc_id"))
 

@@ -87,10 +87,10 @@ def test_pool(spark):
     by = {r.instance_id: r for r in pool.collect()}
     a = by["i-1"]
     assert (a.domain, a.rule_label, a.quality_risk_score, a.has_function_gold, a.function_symbols_touched) == ("symbolic_math", "candidate", 0, True, ["sympy/x.py::f"])
-    assert a.cair_rule_score == min(100, 15 + 10 + 10 + 15 + 5 + 15 + 8 + 8 + 12 + 5 + 6)
+    assert a.rule_score == min(100, 15 + 10 + 10 + 15 + 5 + 15 + 8 + 8 + 12 + 5 + 6)
     assert by["i-2"].rule_label == "reject" and by["i-2"].quality_risk_reasons[0] == "missing_patch" and by["i-3"].docs_only and by["i-4"].rule_label == "manual_review"
     assert [r.instance_id for r in pool.orderBy(*scoring.pool_order()).collect()][0] == "i-1" and scoring.not_rejected(pool).count() == 2
-    assert pool.select(F.explode(F.array("quality_risk_score", "cair_rule_score")).alias("s")).where("s < 0 or s > 100").count() == 0
+    assert pool.select(F.explode(F.array("quality_risk_score", "rule_score")).alias("s")).where("s < 0 or s > 100").count() == 0
     from loomset.plans.prefilter import prefilter
 
     assert {r.prefilter_decision for r in prefilter(pool).collect()} <= {"keep", "deprioritize", "reject"}
