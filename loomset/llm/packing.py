@@ -65,7 +65,8 @@ class Tokens:
         core, signs = found[1].lower(), found[2]
         ids = self.cores.get(core)
         if ids is None:
-            ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(core.translate(self.spelling))]).tobytes()
+            spelled = core if core.isascii() else core.translate(self.spelling)
+            ids = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
             self.room += len(ids)
         if signs:
             more = self.cores.get(signs)
@@ -88,11 +89,12 @@ class Tokens:
 
 
 _SPLIT = re.compile("[ \t\n\r\x0b\x0c]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _words(text: str) -> list[str]:
     """Split at ASCII white space only. str.split() also splits at other white space, where a tokenizer may look across."""
-    return text.split() if text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text else [w for w in _SPLIT.split(text) if w]
+    return [w for w in _SPLIT.split(text) if w] if _OTHER_SPACE.search(text) else text.split()
 
 
 @cache
