@@ -245,7 +245,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are one paragraph, the others meet by MinHash bands and are verified exactly, and components are removed but for the place of the smallest
     (doc_id, start). Anchors are runs of MIN_WORDS equal words chosen by their content, so that any 50 words in a row that
     repeat, wherever in a paragraph, have one in common. Null and empty texts and shorter paragraphs give none; repeated rows are two
-    places; a null id counts as the least, and comes out as null; an empty table gives none.
+    places, kept or not together since they share id and start; a null id counts as the least, and comes out as null; an empty table gives none.
     """
     found = common.kept(units(docs))
     lines = found.where("kind = 'paragraph'")

@@ -177,7 +177,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     The rows meet their group's decision, and their repeats, in one shuffle by id; null ids go by a key of their own.
     """
+    name = "_kept_id"
+    while name in docs.columns:
+        name += "_"
     key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    first = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias("_kept_id"))
-    keyed = docs.withColumn("_kept_id", key(F.col("doc_id").cast("long")))
-    return keyed.join(first, "_kept_id", "left_semi").dropDuplicates(["_kept_id"]).select(*docs.columns)
+    first = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias(name))
+    keyed = docs.withColumn(name, key(F.col("doc_id").cast("long")))
+    return keyed.join(first, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

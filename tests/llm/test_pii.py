@@ -84,4 +84,8 @@ def test_query_and_redaction(spark, docs_of):
     clean = {r.doc_id: r for r in pii.redact(pii.find(docs_of([(10, text), *ODD]))).collect()}
     assert clean[10].text == "né [EMAIL] and [PHONE] and [PHONE] x" and clean[10].n_chars == len(clean[10].text)
     assert clean[1].text is None and clean[2].text == "" and clean[6].text == "a b c d " * 20000
-    assert pii.report(pii.find(docs_of([]))).count() == 0
+    assert pii.report(pii.find(docs_of([]))).count() == 0 and pii.redact(pii.find(docs_of([]))).count() == 0
+    spans = [{"kind": "card", "start": 2, "end": 6}, {"kind": "phone", "start": 4, "end": 8}, {"kind": "ip", "start": 8, "end": 9}]
+    assert pii.redacted("0123456789", spans) == "01[CARD][IP]9"
+    many = " ".join(f"a{i}.b@example.com" for i in range(30000))
+    assert pii.redacted(many, [{"kind": k, "start": s, "end": e} for k, s, e in pii.base_spans(many)]) == " ".join(["[EMAIL]"] * 30000)

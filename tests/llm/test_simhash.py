@@ -65,6 +65,7 @@ def test_rows_of_odd_tables(spark, docs_of):
     by = {r.doc_id: r for r in rows}
     assert {by[i].component_id for i in (1, 2, 3, 7)} == {1} and by[1].fingerprint == "0" * 16
     assert by[5].component_id == 5 and sum(r.doc_id == 5 for r in rows) == 2
-    kept = simhash.drop_near_duplicates(docs_of(ODD))
+    kept = simhash.drop_near_duplicates(docs_of(ODD).selectExpr("*", "7 as _kept_id"))
+    assert {r._kept_id for r in kept.collect()} == {7}
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6]
     assert simhash.near_duplicates(docs_of([])).count() == 0
