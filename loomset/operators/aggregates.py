@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,9 @@ def exploded_counts(df: DataFrame, items: Column, name: str = "item") -> DataFra
 
 
 def share_percent(counts: DataFrame, n: str = "n") -> DataFrame:
-    """Adds the share of each count in percent, to one place. The counts are few: their total is a scalar subquery's worth."""
-    total = counts.agg(F.greatest(F.coalesce(F.sum(n), F.lit(0)), F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col(n) / F.col("_total"), 1)).drop("_total")
+    """Adds the share of each count in percent, to one place. For the few rows of an aggregate: they meet in one window."""
+    total = F.greatest(F.sum(n).over(Window.partitionBy(F.lit(0))), F.lit(1))
+    return counts.withColumn("percent", F.round(100.0 * F.col(n) / total, 1))
 
 
 def ratio(test: Column) -> Column:

@@ -30,12 +30,17 @@ def calls_before(calls: Column, order: Sequence[str], within: Sequence[str] = ()
 
 
 def within_budget(df: DataFrame, calls: str, order: Sequence[str], budget: int, parts: int = 256) -> DataFrame:
-    """The rows that start before the budget is spent.
+    """The rows that start before the budget is spent. The first column of the order is a number or a time.
 
-    Range-partitioned running sums: rows are dealt out by the order, each range adds up its own, and the ranges' totals (one row each) are carried
-    on. No task gets all rows.
+    Running sums by ranges: quantiles of that column cut the order into parts, each part adds up its own rows, and the parts' totals (one row
+    each) are carried on. No task gets all rows, and a row's part follows from its value alone, so a task that runs again agrees.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    first = F.col(order[0]) if dict(df.dtypes)[order[0]] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(order[0]).cast("timestamp"))
+    place = first.cast("double")
+    cuts = df.select(place.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.002)
+    bounds = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= place)) if bounds else F.lit(0)
+    ranged = df.withColumn("_range", F.coalesce(F.when(place.isNull(), -1).otherwise(part), F.lit(-1)))
     totals = ranged.groupBy("_range").agg(F.sum(calls).alias("_total"))
     carried = totals.withColumn("_carried", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_carried")
     own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
