@@ -118,3 +118,23 @@ MODEL_OUTPUTS = "instance_id string, attempt_id int, step string, model string,
 
 def model_outputs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL_OUTPUTS).json(path)
+
+
+def lookup(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The first row of a key, as a filter that reaches the scan; many keys are a semi-join and not many of these."""
+    return df.where(F.col(key) == value).limit(1)
+
+
+def environment(path: str) -> dict[str, str]:
+    """KEY=VALUE lines of a small file, without comments and quotes. Configuration of the driver only."""
+    rows = (x.strip() for x in Path(path).read_text(encoding="utf-8").splitlines())
+    pairs = (x.removeprefix("export ").partition("=") for x in rows if x and not x.startswith("#") and "=" in x)
+    return {k.strip(): v.strip().strip("'\"") for k, _, v in pairs}
+
+
+SCENARIO = "struct<task_id: string, persona: struct<style: string, knowledge: string>, initial_user_query: string, hidden_problem_statement: string, traps: array<struct<type: string, severity: string, text: string>>, cues: array<struct<type: string, text: string>>>"
+
+
+def scenarios(df: DataFrame, raw: str) -> DataFrame:
+    """Scenarios from JSON text, typed; what doesn't parse is null."""
+    return df.withColumn("scenario", F.from_json(raw, SCENARIO))
