@@ -21,6 +21,8 @@ SHINGLE = 5
 MIN_WORDS = 25
 #: A run of at least MIN_WORDS + WINDOW - 1 = 50 equal words has an anchor in common wherever it stands.
 WINDOW = 26
+#: Times that buckets whose members fall into several components get a further centre, at most.
+ROUNDS = 3
 _FILTER_BITS = 24  # of the filter for paragraphs that collide: 2 MB
 _CACHE = 300_000
 
@@ -220,21 +222,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): keys of different paragraphs at the threshold or more, enough to connect each bucket around its centres.
 
-    A bucket's members are compared with three of them, the least, the greatest and one by hash, and not with each other: the pairs
-    are in proportion to the members however large the bucket. Members within the threshold of the same paragraphs meet in one
-    component; what one bucket's centres miss, the other bands' have further chances at.
+    A bucket's members are compared with three of them and not with each other, so pairs are in proportion to the members however large
+    the bucket. One is the member that collides most over all its buckets: copies that were each changed on their own are near
+    their original and not each other, and it is the original that they all collide with. Then, while buckets hold members of more than one
+    component, up to `rounds` times, those outside a further centre's component are compared with it: in turn the one that
+    collides most outside the first centre's component, and one by hash.
     """
     keyed = paragraphs.select("k1", "bands").groupBy("k1").agg(F.any_value("bands").alias("bands"))
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    members = common.kept(keyed.select(F.col("k1").alias("p"), "bands", band).select("p", F.xxhash64("band", F.expr("substring(bands, 8 * band + 1, 8)")).alias("key")))
-    centres = members.groupBy("key").agg(F.min("p").alias("c1"), F.max("p").alias("c2"), F.min_by("p", F.xxhash64("p", F.lit("centre"))).alias("c3")).where("c1 <> c2")
-    met = members.join(centres, "key").select("p", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).where("p <> c")
-    pairs = common.kept(met.select(F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).distinct())
-    passes = _colliding(pairs)
-    return _verified(pairs, _shingle_sets(docs, passes), threshold)
+    members, path = common.write_shared(keyed.select(F.col("k1").alias("p"), "bands", band).select("p", F.xxhash64("band", F.expr("substring(bands, 8 * band + 1, 8)")).alias("key")))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    multi = common.kept(members.join(sizes, "key"))
+    common.drop_shared(docs.sparkSession, path)
+    degrees = multi.groupBy("p").agg(F.sum("n").alias("degree"))
+    met = common.kept(multi.join(degrees, "p").select("p", "key", "degree"))
+    central = F.max_by("p", F.struct("degree", "p"))
+    centres = met.groupBy("key").agg(central.alias("c1"), F.min("p").alias("c2"), F.min_by("p", F.xxhash64("p", F.lit(0))).alias("c3"))
+    ordered = lambda p, c: (F.least(p, c).alias("a"), F.greatest(p, c).alias("b"))
+    pairs = met.join(centres, "key").select("p", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).where("p <> c")
+    pairs = common.kept(pairs.select(*ordered("p", "c")).distinct())
+    sets = common.kept(_shingle_sets(docs, _colliding(pairs)))
+    links = common.kept(_verified(pairs, sets, threshold))
+    for n in range(1, rounds + 1):
+        roots = common.components(links)
+        rooted = common.kept(met.join(roots, met.p == roots.node, "left").select("p", "key", "degree", F.coalesce("root", "p").alias("root")))
+        first = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("root", F.struct("degree", "p")).alias("main")).where("r1 <> r2").select("key", "main")
+        split = common.kept(rooted.join(first, "key"))
+        outside = split.where("root <> main")
+        next_ = F.max_by(F.struct("p", "root"), F.struct("degree", "p")) if n % 2 else F.min_by(F.struct("p", "root"), F.xxhash64("p", F.lit(n)))
+        more = split.join(outside.groupBy("key").agg(next_.alias("c")), "key").where("root <> c.root").select(*ordered("p", F.col("c.p"))).distinct()
+        more = common.kept(more.join(pairs, ["a", "b"], "left_anti"))
+        found = common.kept(_verified(more, sets, threshold))
+        pairs, links = pairs.unionByName(more), links.unionByName(found)
+        if found.isEmpty() and n > 1:
+            break
+    return links
 
 
 def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -91,6 +91,25 @@ def test_runs_inside_paragraphs(spark, docs_of):
     assert all(text[r.doc_id][r.start : r.end] in passage for r in cuts) and {r.doc_id for r in cuts} >= set(range(10, 30))
 
 
+def test_families_that_only_their_original_joins(spark, docs_of):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(7))
+    pairs, family = [], {}
+    for f in range(4):
+        base = [word() for _ in range(60)]
+        for k in range(41):
+            copy = list(base)
+            if k:
+                copy[rng.randrange(6, 54)] = word()
+            family[100 * f + k] = f
+            pairs.append((100 * f + k, " ".join(copy)))
+    groups = {}
+    for r in P.repeats(docs_of(pairs)).where("kind = 'paragraph'").collect():
+        groups.setdefault(r.component_id, set()).add(r.doc_id)
+    assert all(len({family[i] for i in g}) == 1 for g in groups.values())
+    assert sum(len(g) for g in groups.values() if len(g) > 35) >= 0.98 * len(pairs)
+
+
 def test_odd_rows(spark, docs_of):
     line = " ".join(f"w{i}" for i in range(30))
     rows = P.repeats(docs_of([(None, line), (1, line), (1, line), (2, None), (3, "É" + line.upper()), (4, "")]).selectExpr("*", "1 as kind", "2 as k1")).collect()
