@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,21 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def small(batches: Iterable[pa.RecordBatch], name: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about `size` bytes of text at most (a longer text stands alone): what a task makes of a slice stays small
+    whatever the length of its texts."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
+        start = held = 0
+        for at, n in enumerate(lengths):
+            if held and held + n > size:
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def id_crc(doc_id: Column) -> Column:
     """CRC-32 of the id as decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

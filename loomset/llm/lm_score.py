@@ -251,7 +251,7 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             from pyspark import TaskContext
 
             ids, learn, any_text = Ids(shared), Learner(shared), False
-            for batch in batches:
+            for batch in common.small(batches):
                 texts = common.texts_of(batch)
                 if texts:
                     any_text = True
@@ -291,7 +291,7 @@ def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(model)
         n = ids_of.n
-        for batch in batches:
+        for batch in common.small(batches):
             words = [words_of(t) for t in common.texts_of(batch)]
             docs_ids = [ids_of.of(w) for w in words]
             found = log10_head(model, *histories(docs_ids))

@@ -20,7 +20,7 @@ from loomset.llm import common
 
 CAPACITY = 4096
 END = 1
-_CACHE, _CACHE_BYTES = 400_000, 16_000_000  # words that a task remembers, and bytes of their ids
+_CACHE, _CACHE_BYTES = 200_000, 8_000_000  # words that a task remembers, and bytes of their ids
 _SALTS = 4096  # parts of the pieces of one length that are numbered apart
 
 
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = _tokens(tokenizer), np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in common.small(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.batch(common.texts_of(batch))):
                 ids += end
