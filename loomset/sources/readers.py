@@ -57,7 +57,8 @@ def latest_index(spark: SparkSession, path: str, schema: T.StructType | str, key
 
 
 def normalised(raw: DataFrame, source: str | None = None) -> DataFrame:
-    """Raw records in the 18 columns: alternatives merged, ids trimmed, lists as JSON text, rows without an id dropped."""
+    """Raw records in the 18 columns (16 unless spark.sql.caseSensitive is set: two are lower-case copies of others): alternatives merged, ids trimmed,
+    lists as JSON text, rows without an id dropped."""
     have = set(raw.columns)
     kinds = dict(raw.dtypes)
 
