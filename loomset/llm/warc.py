@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from loomset.llm import common
 
+#: Rows of an Arrow batch: a page, its record and two derivatives stand in memory together.
+ROWS = 64
+
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
 #: Elements whose text isn't shown, and elements that end a line.
 HIDDEN = frozenset("script style head title noscript template iframe svg math".split())
@@ -139,7 +142,7 @@ def derive(data: bytes) -> list[tuple[str, str, str, str, str, str, bytes, bytes
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """page_id and warc (binary): a response record for each row of `pages`. Null ids, addresses and pages count as empty values."""
-    common.tune(pages.sparkSession)
+    common.tune(pages.sparkSession, ROWS)
     schema = pa.schema([("page_id", pa.int64()), ("warc", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,7 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Identifiers follow from the source's, so running again gives the same rows; repeated rows stay. One pass, no shuffle.
     """
-    common.tune(records.sparkSession)
+    common.tune(records.sparkSession, ROWS)
     schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("kind", "record_id", "refers_to", "target_uri", "block_digest", "source_payload_digest", "content")), ("record", pa.binary())])
 
     def one(data: bytes | None) -> list:
