@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from loomset.llm import common
 ADD = 0.1
 #: Tokens with at least a HEAD-th of all are sent to every task: there can be no more than HEAD of them.
 HEAD = 1 << 20
-CLASSES, WORDS = 16, 32  # the most frequent CLASSES x WORDS tokens have classes; all others form one more
+CLASSES, WORDS = 32, 32  # the most frequent CLASSES x WORDS tokens have classes; all others form one more
 ROUNDS = 2  # each takes another share of the training documents, together all
 FEATURES = 3
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
@@ -110,9 +111,11 @@ class Ids:
         self.get, self.n = model.place.get, len(model.place)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        ids = np.array(list(map(self.get, words, [-1] * len(words))), np.int64)
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = self.n + zlib.crc32(words[i]) % _OOV
+        ids = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(ids < 0)
+        if len(other):
+            crc = zlib.crc32
+            ids[other] = np.fromiter([crc(words[i]) for i in other.tolist()], np.int64, len(other)) % _OOV + self.n
         return ids
 
 
