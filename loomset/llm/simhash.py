@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import common
@@ -43,17 +43,19 @@ def simhash(text: str, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, **keys: Column) -> DataFrame:
+    """(doc_id, the given columns of longs, fp): fp is the fingerprint's 64 bits as a signed long. A null text counts as empty."""
     common.tune(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    names = ["doc_id", *keys, "fp"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t, shingle) for t in common.texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    given = [c.alias(n) for n, c in keys.items()]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *given, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _prefix_masks(bits: int, flips: int) -> list[int]:
@@ -153,6 +155,12 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """`nodes`, one row for each fingerprint (column fp), with the root of its component."""
+    roots = common.components(links(nodes.select("fp")))
+    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id, group_rows.
 
@@ -164,8 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     marked = common.kept(fingerprints(docs, shingle))
     nodes = common.kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    roots = common.components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies")
+    rooted = _rooted(nodes)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("group_rows"))
     named = common.kept(rooted.join(ids, "root").select("fp", "component_id", "group_rows"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -173,14 +180,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each group, in the columns of `docs`. Of rows that share that id, one stays.
+    """Exactly one row of each group, in the columns of `docs`: that of the smallest doc_id, null last, and of rows that share it one by content.
 
-    The rows meet their group's decision, and their repeats, in one shuffle by id; null ids go by a key of their own.
+    A row is known by a 128-bit hash of its id and all its columns (nulls marked, since the hash skips them), so rows without an id or
+    with the same one are decided by their own groups. The least row of each fingerprint is found before components are; rows meet
+    their group's decision, and their exact repeats, in one shuffle by that hash.
     """
-    name = "_kept_id"
-    while name in docs.columns:
-        name += "_"
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    first = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias(name))
-    keyed = docs.withColumn(name, key(F.col("doc_id").cast("long")))
-    return keyed.join(first, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    names = ["_kept_a", "_kept_b"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    known = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]  # Spark can't hash maps
+    a, b = (F.xxhash64(F.lit(n), *[c.isNull() for c in known], *known) for n in range(2))
+    marked = common.kept(fingerprints(docs, a=a, b=b))
+    nodes = common.kept(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "a", "b")).alias("row")))
+    first = _rooted(nodes).groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.a").alias(names[0]), F.col("row.b").alias(names[1]))
+    keyed = docs.withColumns(dict(zip(names, (a, b))))
+    return keyed.join(first, names, "left_semi").dropDuplicates(names).select(*docs.columns)

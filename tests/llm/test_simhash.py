@@ -69,3 +69,11 @@ def test_rows_of_odd_tables(spark, docs_of):
     assert {r._kept_id for r in kept.collect()} == {7}
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6]
     assert simhash.near_duplicates(docs_of([])).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, docs_of):
+    texts = ["red fox runs over hills", "cold rain on tin roofs at night", "nine ships left port", "bread rises in warm rooms"]
+    pairs = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[3]), (8, texts[1]), (None, "a lone text without id")]
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs_of(pairs)).collect()]
+    want = [(None, texts[0]), (None, "a lone text without id"), (7, texts[2]), (7, texts[3]), (8, texts[1])]
+    assert sorted(got, key=str) == sorted(want, key=str)
