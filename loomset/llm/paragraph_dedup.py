@@ -117,7 +117,7 @@ def line_key(words: list[bytes]) -> tuple[int, int]:
 
 
 class Text:
-    """The words of a text with their places, and its paragraphs (lines) as ranges of words."""
+    """The words of a text with their places, and its lines as ranges of words: those with a shingle, and the shorter ones."""
 
     def __init__(self, text: str, cache_: WordHashes):
         raw = text.encode("utf-8", "surrogatepass")
@@ -128,7 +128,9 @@ class Text:
         self.hashes = np.fromiter(map(cache_.__getitem__, self.words), np.uint64, len(self.words))
         cuts = np.searchsorted(self.start, np.flatnonzero(data == 0x0A))
         bounds = np.unique(np.concatenate([[0], cuts, [len(self.words)]])).tolist()
-        self.lines = [(a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= MIN_WORDS]
+        lines = list(zip(bounds, bounds[1:]))
+        self.lines = [(a, b) for a, b in lines if b - a >= SHINGLE]
+        self.short = [(a, b) for a, b in lines if 0 < b - a < SHINGLE]
         if len(raw) != len(text):  # places in code points
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             self.start, self.end = points[self.start], points[self.end]
@@ -145,8 +147,8 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """The paragraphs of at least MIN_WORDS words with their bands, and the anchors, of every whole text."""
+def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """The lines of at least `least` words with their bands (null without a shingle), and the anchors, of every whole text."""
     common.tune(docs.sparkSession)
     kinds = (pa.int64(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.binary())
     schema = pa.schema(list(zip([x.split()[0] for x in UNITS.split(", ")], kinds)))
@@ -157,8 +159,10 @@ def units(docs: DataFrame) -> DataFrame:
             rows, parts = [], []
             for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), common.texts_of(batch))):
                 t = Text(text, cache_)
-                for a, b in t.lines:
-                    rows.append((doc_id, "paragraph", int(t.start[a]), int(t.end[b - 1]), b - a, *line_key(t.words[a:b]), bands(t.shingles(a, b))))
+                for a, b in t.lines + t.short:
+                    if b - a >= least:
+                        kind, banded = "paragraph" if b - a >= MIN_WORDS else "line", bands(t.shingles(a, b)) if b - a >= SHINGLE else None
+                        rows.append((doc_id, kind, int(t.start[a]), int(t.end[b - 1]), b - a, *line_key(t.words[a:b]), banded))
                 if len(t.hashes) >= MIN_WORDS:
                     gram = grams(t.hashes, MIN_WORDS)
                     places = anchors(gram)
@@ -198,7 +202,7 @@ def _shingle_sets(docs: DataFrame, passes: np.ndarray) -> DataFrame:
             for text in common.texts_of(batch):
                 for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
                     words = line.split()
-                    if len(words) >= MIN_WORDS and (p := line_key(words)[0]) not in rows and on[p % len(on)]:
+                    if len(words) >= SHINGLE and (p := line_key(words)[0]) not in rows and on[p % len(on)]:
                         rows[p] = np.unique(grams(np.fromiter(map(cache_.__getitem__, words), np.uint64, len(words)), SHINGLE)).tobytes()
             yield from common.batches(iter(rows.items()), schema, 256)
 
@@ -231,7 +235,7 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
     component, up to `rounds` times, those outside a further centre's component are compared with it: in turn the one that
     collides most outside the first centre's component, and one by hash.
     """
-    keyed = paragraphs.select("k1", "bands").groupBy("k1").agg(F.any_value("bands").alias("bands"))
+    keyed = paragraphs.where("bands is not null").select("k1", "bands").groupBy("k1").agg(F.any_value("bands").alias("bands"))
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     members, path = common.write_shared(keyed.select(F.col("k1").alias("p"), "bands", band).select("p", F.xxhash64("band", F.expr("substring(bands, 8 * band + 1, 8)")).alias("key")))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -262,18 +266,18 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
     return links
 
 
-def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORDS) -> DataFrame:
     """One row for each place in `docs` whose passage stands in more than one place (a paragraph) or document (an anchor).
 
     doc_id, kind, start, end (code points, end exclusive), words, component_id, first_doc_id, places, keep. Paragraphs are lines of at least MIN_WORDS
-    words, linked where their sets of 5-word shingles (lower case) have a Jaccard similarity of the threshold or more: equal texts
+    words; of kind line are those of `least` up to that. Both are linked where their sets of 5-word shingles (lower case) have a Jaccard similarity of the threshold or more: equal texts
     are one paragraph, the others meet by MinHash bands and are verified exactly, and components are removed but for the place of the smallest
     (doc_id, start). Anchors are runs of MIN_WORDS equal words chosen by their content, so that any 50 words in a row that
-    repeat, wherever in a paragraph, have one in common. Null and empty texts and shorter paragraphs give none; repeated rows are two
+    repeat, wherever in a paragraph, have one in common. Lines without a 5-word shingle meet equal ones only. Null and empty texts and lines under `least` words give none; repeated rows are two
     places, kept or not together since they share id and start; a null id counts as the least, and comes out as null; an empty table gives none.
     """
-    found = common.kept(units(docs))
-    lines = found.where("kind = 'paragraph'")
+    found = common.kept(units(docs, least).withColumn("anchored", F.col("kind") == "anchor"))
+    lines = found.where("not anchored")
     links = paragraph_links(docs, lines, threshold)
     roots = common.components(links)
     place = F.struct("doc_id", "start")
@@ -281,9 +285,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rooted = classes.join(roots, classes.k1 == roots.node, "left").withColumn("root", F.coalesce("root", "k1"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("places")).where("places > 1")
     named = rooted.select("k1", "k2", "root").join(groups, "root").select("k1", "k2", F.col("root").alias("component_id"), "first", "places")
-    runs = found.where("kind = 'anchor'").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("places"))
+    runs = found.where("anchored").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("places"))
     runs = runs.where("first.doc_id <> last or (places > 1)").select("k1", "k2", F.col("k1").alias("component_id"), "first", "places")
-    told = found.drop("bands").join(named.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("anchor"))), ["k1", "k2", "kind"])
+    told = found.drop("bands").join(named.withColumn("anchored", F.lit(False)).unionByName(runs.withColumn("anchored", F.lit(True))), ["k1", "k2", "anchored"])
     back = lambda c: F.nullif(c, F.lit(NO_ID))
     return told.select(
         back(F.col("doc_id")).alias("doc_id"), "kind", "start", "end", "words", "component_id", back(F.col("first.doc_id")).alias("first_doc_id"), "places",
@@ -291,10 +295,10 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def removals(found: DataFrame) -> DataFrame:
-    """doc_id, start, end: what repeats() doesn't keep, overlapping and adjoining places as one."""
+def removals(found: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start, end: what repeats() doesn't keep of at least `least` words, overlapping and adjoining places as one."""
     w = Window.partitionBy("doc_id").orderBy("start", "end")
-    gone = found.where("not keep").select("doc_id", "start", "end").distinct()
+    gone = found.where(~F.col("keep") & (F.col("words") >= least)).select("doc_id", "start", "end").distinct()
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = gone.withColumn("_new", (F.coalesce(reach, F.lit(-1)) < F.col("start") - 1).cast("int"))
     return marked.withColumn("_island", F.sum("_new").over(w)).groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")

@@ -25,7 +25,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomset.llm import paragraph_dedup
 
-    return paragraph_dedup.repeats(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeats(table(spark, sf_dir, "documents"), least=1)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,23 @@ def test_odd_rows(spark, docs_of):
     paragraphs = sorted((r.doc_id or -1, r.keep) for r in rows if r.kind == "paragraph")
     assert paragraphs == [(-1, True), (1, False), (1, False), (3, False)] or [p[0] for p in paragraphs] == [-1, 1, 1, 3]
     assert P.repeats(docs_of([])).count() == 0
+
+
+def test_short_lines_repeat_too(spark, docs_of, tmp_path):
+    from loomset.llm.queries import op3_substring_dedup
+
+    long = " ".join(f"w{i}" for i in range(24))
+    pairs = [(1, f"Title\n{long}\nalone in here"), (2, f"{long} more\n  title\none two three four five six"), (3, f"other\none two three four five six\n{long.upper()}")]
+    docs_of(pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op3_substring_dedup(spark, str(tmp_path))
+    rows = [r for r in found.collect() if r.kind != "anchor"]
+    text, got = dict(pairs), {}
+    for r in rows:
+        got.setdefault(r.component_id, set()).add((r.doc_id, text[r.doc_id][r.start : r.end].lower(), r.kind, r.keep))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, [
+        {(1, "title", "line", True), (2, "title", "line", False)},
+        {(2, "one two three four five six", "line", True), (3, "one two three four five six", "line", False)},
+        {(1, long, "line", True), (2, long + " more", "paragraph", False), (3, long, "line", False)},
+    ]))
+    assert {(r.doc_id, r.start) for r in P.removals(found).collect()} == {(2, 0)}
+    assert len(P.removals(found, 1).collect()) > 1
