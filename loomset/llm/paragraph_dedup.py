@@ -21,8 +21,8 @@ SHINGLE = 5
 MIN_WORDS = 25
 #: A run of at least MIN_WORDS + WINDOW - 1 = 50 equal words has an anchor in common wherever it stands.
 WINDOW = 26
-#: Times that buckets whose members fall into several components get a further centre, at most.
-ROUNDS = 3
+#: Further centres of a bucket whose members fall into several components, in the first round; each round doubles them.
+CENTRES = 2
 _FILTER_BITS = 24  # of the filter for paragraphs that collide: 2 MB
 _CACHE = 300_000
 
@@ -226,14 +226,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): keys of different paragraphs at the threshold or more, enough to connect each bucket around its centres.
+def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): keys of different paragraphs at the threshold or more, enough to connect whatever all pairs of each bucket connect.
 
-    A bucket's members are compared with three of them and not with each other, so pairs are in proportion to the members however large
-    the bucket. One is the member that collides most over all its buckets: copies that were each changed on their own are near
-    their original and not each other, and it is the original that they all collide with. Then, while buckets hold members of more than one
-    component, up to `rounds` times, those outside a further centre's component are compared with it: in turn the one that
-    collides most outside the first centre's component, and one by hash.
+    A bucket's members are first compared with three of them and not with each other. One is the member that collides most over all its
+    buckets: copies that were each changed on their own are near their original and not each other, and it is the original that they all
+    collide with. The others are by hashes of member and bucket. Then buckets get further centres, CENTRES at first and twice as many
+    each round, which are compared with the members of other components, until no two members of different components are left of which
+    neither was a centre. So no pair that could join components goes unmet, and members that are one component already cost nothing more.
     """
     keyed = paragraphs.where("bands is not null").select("k1", "bands").groupBy("k1").agg(F.any_value("bands").alias("bands"))
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -242,28 +242,38 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
     multi = common.kept(members.join(sizes, "key"))
     common.drop_shared(docs.sparkSession, path)
     degrees = multi.groupBy("p").agg(F.sum("n").alias("degree"))
-    met = common.kept(multi.join(degrees, "p").select("p", "key", "degree"))
-    central = F.max_by("p", F.struct("degree", "p"))
-    centres = met.groupBy("key").agg(central.alias("c1"), F.min("p").alias("c2"), F.min_by("p", F.xxhash64("p", F.lit(0))).alias("c3"))
+    met = multi.join(degrees, "p").select("p", "key", "degree")
+    by_hash = lambda n: F.min_by("p", F.xxhash64("p", "key", F.lit(n)))
+    centres = met.groupBy("key").agg(F.max_by("p", F.struct("degree", "p")).alias("c1"), by_hash(2).alias("c2"), by_hash(3).alias("c3"))
+    met = common.kept(met.join(centres, "key").select("p", "key", "degree", F.array_distinct(F.array("c1", "c2", "c3")).alias("centres")))
     ordered = lambda p, c: (F.least(p, c).alias("a"), F.greatest(p, c).alias("b"))
-    pairs = met.join(centres, "key").select("p", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).where("p <> c")
+    pairs = met.select("p", F.explode("centres").alias("c")).where("p <> c")
     pairs = common.kept(pairs.select(*ordered("p", "c")).distinct())
     sets = common.kept(_shingle_sets(docs, _colliding(pairs)))
     links = common.kept(_verified(pairs, sets, threshold))
-    for n in range(1, rounds + 1):
-        roots = common.components(links)
-        rooted = common.kept(met.join(roots, met.p == roots.node, "left").select("p", "key", "degree", F.coalesce("root", "p").alias("root")))
-        first = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("root", F.struct("degree", "p")).alias("main")).where("r1 <> r2").select("key", "main")
-        split = common.kept(rooted.join(first, "key"))
-        outside = split.where("root <> main")
-        next_ = F.max_by(F.struct("p", "root"), F.struct("degree", "p")) if n % 2 else F.min_by(F.struct("p", "root"), F.xxhash64("p", F.lit(n)))
-        more = split.join(outside.groupBy("key").agg(next_.alias("c")), "key").where("root <> c.root").select(*ordered("p", F.col("c.p"))).distinct()
+    roots = common.components(links)
+    rooted = met.join(roots, met.p == roots.node, "left")
+    rooted = rooted.select("p", "key", "degree", F.coalesce("root", "p").alias("root"), F.array_contains("centres", F.col("p")).alias("centre"))
+    n = CENTRES
+    while True:
+        waiting = F.when(~F.col("centre"), F.col("root"))
+        open_ = rooted.groupBy("key").agg(F.min(waiting).alias("r1"), F.max(waiting).alias("r2"), F.max_by("root", F.struct("degree", "p")).alias("main")).where("r1 <> r2").select("key", "main")
+        split = common.kept(rooted.join(open_, "key"))
+        if split.isEmpty():
+            return links
+        order = Window.partitionBy("key").orderBy(F.col("root") == F.col("main"), F.desc("degree"), F.xxhash64("p", "key"), "p")
+        chosen = common.kept(split.where("not centre").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("key", F.col("p").alias("c"), F.col("root").alias("c_root")))
+        more = split.join(chosen, "key").where("root <> c_root").select(*ordered("p", "c")).distinct()
         more = common.kept(more.join(pairs, ["a", "b"], "left_anti"))
         found = common.kept(_verified(more, sets, threshold))
         pairs, links = pairs.unionByName(more), links.unionByName(found)
-        if found.isEmpty() and n > 1:
-            break
-    return links
+        known = split.select("p", "root").distinct()
+        ends = [known.select(F.col("p").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+        merged = common.components(found.join(ends[0], "a").join(ends[1], "b"), "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        asked = chosen.select("key", F.col("c").alias("p"), F.lit(True).alias("asked"))
+        rooted = split.drop("main").join(merged, "root", "left").join(asked, ["key", "p"], "left")
+        rooted = rooted.select("p", "key", "degree", F.coalesce("to", "root").alias("root"), (F.col("centre") | F.coalesce("asked", F.lit(False))).alias("centre"))
+        n *= 2
 
 
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORDS) -> DataFrame:

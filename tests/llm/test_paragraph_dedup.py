@@ -136,3 +136,18 @@ def test_short_lines_repeat_too(spark, docs_of, tmp_path):
     ]))
     assert {(r.doc_id, r.start) for r in P.removals(found).collect()} == {(2, 0)}
     assert len(P.removals(found, 1).collect()) > 1
+
+
+def test_all_components_of_a_large_bucket_meet(spark, docs_of):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(7))
+    lines = []
+    for _ in range(30):  # thirty unrelated pairs of near copies, all in one bucket
+        base = [word() for _ in range(40)]
+        lines += [" ".join(base), " ".join(base[:-1] + [word()])]
+    docs = docs_of(list(enumerate(lines)))
+    keys = [P.line_key(x.encode().split())[0] for x in lines]
+    bands = [bytes(8) + rng.randbytes(8 * (P.BANDS - 1)) for _ in lines]
+    links = P.paragraph_links(docs, spark.createDataFrame(list(zip(keys, bands)), "k1 long, bands binary"))
+    got = {(r.a, r.b) for r in links.collect()}
+    assert got == {tuple(sorted(keys[i : i + 2])) for i in range(0, 60, 2)}
