@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from loomset import patterns as P
 from loomset.functions import diff, jsonx, lists, paths, spans
@@ -132,10 +133,13 @@ def q45(t):
 
 @query("q50_span_match")
 def q50(t):
-    """Spans quoted from benchmark items against a document of their number: exact and normalised in bulk, fuzzy in batches. Not in SQL: similarity of sequences."""
-    d = t("documents").where("doc_id < 40").select((F.col("doc_id")).alias("item_id"), F.left("text", F.lit(600)).alias("source_text"))
-    b = t("benchmark").select("item_id", "text").join(d, "item_id")
-    quoted = b.select("item_id", F.when(F.col("item_id") % 4 == 0, "").when(F.col("item_id") % 4 == 1, F.substring("source_text", 1, 60)).when(F.col("item_id") % 4 == 2, F.upper(F.substring("source_text", 1, 60))).otherwise(F.substring("text", 1, 60)).alias("source_span"), "source_text")
+    """Spans quoted from benchmark items against the whole of every document, by its number modulo the items': exact and normalised in bulk, fuzzy in batches. Not in SQL: similarity of sequences."""
+    items = t("benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("item"), F.col("text").alias("item_text"))
+    n = F.nullif(t("benchmark").agg(F.count("*")).scalar(), F.lit(0))
+    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    d = t("documents").select(F.pmod(number, n).alias("item"), F.col("text").alias("source_text"))
+    k, start = F.col("item") % 4, F.substring("source_text", 1, 60)
+    quoted = d.join(items, "item", "left").select("item", F.when(k == 0, "").when(k == 1, start).when(k == 2, F.upper(start)).otherwise(F.substring("item_text", 1, 60)).alias("source_span"), "source_text")
     matched = spans.match_spans(quoted, "source_span", "source_text")
     return matched.groupBy("match.status").agg(F.count("*").alias("n"))
 
