@@ -6,7 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -19,16 +19,24 @@ from loomset.llm import common
 ADD = 0.1
 #: Tokens with at least a HEAD-th of all are sent to every task: there can be no more than HEAD of them.
 HEAD = 1 << 20
-CLASSES, WORDS = 32, 32  # the most frequent CLASSES x WORDS tokens have classes; all others form one more
-ROUNDS = 2  # each takes another share of the training documents, together all
+#: A class is LEVELS digits of WAYS values. The OWN most frequent tokens have the even classes, one each; all others, unseen ones included, share the odd ones by hash.
+WAYS, LEVELS = 8, 5
+CLASSES = WAYS**LEVELS
+OWN = CLASSES // 2
+#: Rounds of training by their tenths of the training documents, together all.
+ROUNDS = (3, 7)
 FEATURES = 3
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
-RATE = 0.2
-_BLOCKS = 512  # pieces in which tasks hand over their updates
-_STEP = 4096  # tokens that are scored at once
-_LEARN = 16384  # tokens of a gradient step
+ROWS = 1 << 16  # of weights, for each digit
+STEP = 0.5  # of a round, in logarithms
+PRIOR_COUNT = 4.0  # added to what is observed and expected: a row that few tokens meet moves little
+_BOUND = 20.0  # of a weight
+_BLOCKS = 64  # pieces of a digit's weights in which tasks hand over their sums
+_SCALE = 1024.0  # sums are handed over as half floats of this unit
+_FLUSH = 1 << 25  # tokens after which a task hands over its sums
+_MERGED = 256  # tasks whose sums are added up together
+_CHUNK = 1 << 17  # tokens that are scored or learned from at once
 _COUNTED = 400_000  # distinct tokens that a task counts before it hands them on
-_OOV = 1 << 20
+_OTHERS = 1 << 20  # numbers of tokens without a class of their own
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -66,61 +74,83 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """The head's counts and places by frequency, corpus totals, priors and learned weights."""
+    """The head's counts and places by frequency, corpus totals, the classes' counts, and learned weights."""
 
     place: dict[bytes, int]
     count: np.ndarray
     total: int
     distinct: int
-    class_prior: np.ndarray
-    word_prior: np.ndarray
-    rest_log: float  # log10 of what a token of the other class divides its count by
-    class_weights: np.ndarray
-    word_weights: np.ndarray
+    mass: np.ndarray  # by class: what a token of it divides its smoothed count by
+    priors: list[np.ndarray]  # by level, node and digit: logarithms of the classes' shares
+    weights: np.ndarray  # by level, row and digit
 
     @property
     def base_log(self) -> float:
         return math.log10(self.total + ADD * (self.distinct + 1))
 
 
+def _priors(mass: np.ndarray) -> list[np.ndarray]:
+    out, which = [], np.arange(CLASSES)
+    for level in range(LEVELS):
+        nodes = WAYS**level
+        shares = np.bincount(_digit(which, level) * nodes + which % nodes, mass, nodes * WAYS).reshape(WAYS, nodes).T
+        whole = shares.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = np.where(whole > 0, np.log(shares / whole), -math.log(WAYS))
+        out.append(np.ascontiguousarray(np.maximum(logs, -1e4), np.float32))
+    return out
+
+
 def build(counts: DataFrame) -> Model:
-    """Totals and the head, and a model without weights: its score is that of the class-factored unigrams."""
+    """Totals, the head and the classes' counts, and a model without weights: its score is that of the class-factored unigrams."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = counts.where(F.col("n") * HEAD >= total).toArrow() if total else counts.limit(0).toArrow()
     pairs = sorted(zip(head.column("token").to_pylist(), head.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     place = {t: i for i, (t, _) in enumerate(pairs)}
     count = np.array([n for _, n in pairs], np.float64)
-    classed = min(len(pairs), CLASSES * WORDS)
-    mass = np.zeros(CLASSES * WORDS)
-    mass[:classed] = count[:classed] + ADD
-    grid = mass.reshape(WORDS, CLASSES).T  # class i holds the places i, i + CLASSES, ...: all classes have frequent words
-    rest = total - count[:classed].sum() + ADD * (distinct - classed + 1)
-    whole = np.concatenate([grid.sum(1), [rest]])
-    with np.errstate(divide="ignore"):
-        class_prior = np.log(whole / whole.sum())
-        word_prior = np.log(grid / np.maximum(grid.sum(1, keepdims=True), 1e-300))
-    floor = lambda x: np.maximum(x, -1e9).astype(np.float32)
-    weights = np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, WORDS), np.float32)
-    return Model(place, count, int(total), int(distinct), floor(class_prior), floor(word_prior), math.log10(rest) if rest else 0.0, *weights)
+    shared = counts.groupBy(F.pmod(F.crc32("token"), F.lit(OWN)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
+    tokens, kinds = np.zeros(OWN), np.zeros(OWN)
+    tokens[shared.column("c").to_numpy()], kinds[shared.column("c").to_numpy()] = shared.column("n").to_numpy(), shared.column("v").to_numpy()
+    own = pairs[:OWN]
+    for t, n in own:
+        c = zlib.crc32(t) % OWN
+        tokens[c] -= n
+        kinds[c] -= 1
+    mass = np.zeros(CLASSES)
+    mass[: 2 * len(own) : 2] = count[: len(own)] + ADD
+    mass[1::2] = tokens + ADD * (kinds + 1)
+    return Model(place, count, int(total), int(distinct), mass, _priors(mass), np.zeros((LEVELS, ROWS, WAYS), np.float32))
 
 
 class Ids:
-    """Numbers of tokens: their place in the head, or one by hash beyond it."""
+    """Places of tokens in the head (-1 beyond it), and their numbers: the place of those with a class of their own, from OWN on one by hash."""
 
     def __init__(self, model: Model):
-        self.get, self.n = model.place.get, len(model.place)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        ids = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
-        other = np.flatnonzero(ids < 0)
-        if len(other):
+        self.get = model.place.get
+        self.numbers = np.arange(len(model.place))
+        self.numbers[OWN:] = [OWN + zlib.crc32(t) % _OTHERS for t, i in model.place.items() if i >= OWN]
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        places = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        beyond = np.flatnonzero(places < 0)
+        numbers = np.take(self.numbers, places) if len(self.numbers) else np.empty(len(places), np.int64)
+        if len(beyond):
             crc = zlib.crc32
-            ids[other] = np.fromiter([crc(words[i]) for i in other.tolist()], np.int64, len(other)) % _OOV + self.n
-        return ids
+            numbers[beyond] = np.fromiter([crc(words[i]) for i in beyond.tolist()], np.int64, len(beyond)) % _OTHERS + OWN
+        return places, numbers
+
+
+def classes(numbers: np.ndarray) -> np.ndarray:
+    return np.where(numbers < OWN, 2 * numbers, 2 * (numbers % OWN) + 1)
+
+
+def _digit(which: np.ndarray, level: int) -> np.ndarray:
+    return which // WAYS**level % WAYS
 
 
 def histories(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of some documents and, for each, its feature hashes: the word before, the two before, and the one before the last (a skip)."""
+    """The numbers of all tokens of some documents and, for each, its feature hashes (a line for each feature): the word before, the two before,
+    and the one before the last (a skip)."""
     parts = [np.concatenate([np.array([-1, -2]), d]) for d in docs]
     line = np.concatenate(parts) if parts else np.empty(0, np.int64)
     starts = np.cumsum([0, *map(len, parts)])[:-1] if parts else np.empty(0, np.int64)
@@ -128,185 +158,157 @@ def histories(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     inside[starts], inside[starts + 1] = False, False
     at = np.flatnonzero(inside)
     one, two = line[at - 1].astype(np.uint64), line[at - 2].astype(np.uint64)
-    hashes = np.stack([one * _P1, (one * _P2) ^ (two * _P3) + _P1, two * _P2 + _P3], 1)
+    hashes = np.stack([one * _P1, (one * _P2) ^ (two * _P3) + _P1, two * _P2 + _P3])
     return line[at], hashes ^ (hashes >> np.uint64(29))
 
 
-def _rows(hashes: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-    mixed = hashes * _P1 if classes is None else (hashes + classes.astype(np.uint64)[:, None] * _P3) * _P2
-    return (mixed >> np.uint64(64 - (13 if classes is None else 14))).astype(np.int64)
-
+def _level(model: Model, level: int, which: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At one digit: the rows of the features (a row belongs to a feature and the digits before), the digits, and the exponents of all its values."""
+    node = which & (WAYS**level - 1)
+    rows = (((hashes + node.astype(np.uint64) * _P3) * _P2) >> np.uint64(48)).astype(np.int64)
+    z = np.take(model.priors[level], node, axis=0)
+    for r in rows:
+        z += np.take(model.weights[level], r, axis=0)
+    return rows, (which >> (3 * level)) & (WAYS - 1), z
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
 
-
-def _gathered(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sums of the features' rows."""
-    out = weights[rows[:, 0]]
-    for j in range(1, FEATURES):
-        out += weights[rows[:, j]]
-    return out
+_ONES = np.ones(WAYS, np.float32)
 
 
-def _forward(model: Model, ids: np.ndarray, hashes: np.ndarray) -> tuple:
-    """Class probabilities of each token; of those with a class, which they are, and word probabilities in it."""
-    classed = ids < CLASSES * WORDS
-    cls = np.where(classed, ids % CLASSES, CLASSES)
-    rows = _rows(hashes)
-    p = _softmax(_gathered(model.class_weights, rows) + model.class_prior)
-    where = np.flatnonzero(classed)
-    word, own = ids[where] // CLASSES, cls[where]
-    word_rows = _rows(hashes[where], own)
-    q = _softmax(_gathered(model.word_weights, word_rows) + model.word_prior[own])
-    return cls, rows, p, where, word, word_rows, q
-
-
-def log10_head(model: Model, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """log10 of each token's class probability times, where it has a class, that of the word in it."""
-    out = np.empty(len(ids))
-    for at in range(0, len(ids), _STEP):
-        some = slice(at, at + _STEP)
-        cls, _, p, where, word, _, q = _forward(model, ids[some], hashes[some])
-        found = np.log10(np.maximum(p[np.arange(len(cls)), cls], 1e-30)).astype(np.float64)
-        found[where] += np.log10(np.maximum(q[np.arange(len(where)), word], 1e-30))
-        out[some] = found
-    return out
+def log10_classes(model: Model, which: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """log10 of each token's class given its history."""
+    out = np.zeros(len(which))
+    for at in range(0, len(which), _CHUNK):
+        some = slice(at, at + _CHUNK)
+        for level in range(LEVELS):
+            _, digits, z = _level(model, level, which[some], hashes[:, some])
+            own = np.take(z.ravel(), np.arange(0, z.size, WAYS) + digits)
+            np.exp(z, out=z)
+            out[some] += own - np.log(z @ _ONES)
+    return out * math.log10(math.e)
 
 
-class Learner:
-    """A task's gradient steps (AdaGrad) from the shared weights on."""
+class Sums:
+    """What a task adds up for a round: how often a row's digits are observed, and how often the model expects them. Their difference is the gradient."""
 
     def __init__(self, model: Model):
-        self.model = Model(**{**vars(model), "class_weights": model.class_weights.copy(), "word_weights": model.word_weights.copy()})
-        self.first = model.class_weights, model.word_weights
-        self.squares = [np.full_like(w, 1.0) for w in self.first]
-        self.seen = [np.zeros(len(w)) for w in self.first]
-
-    def _down(self, which: int, weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """One AdaGrad step: the gradients of each row's tokens are summed (running sums of the sorted tokens, their differences at the rows' ends)."""
-        flat = rows.ravel()
-        if not len(flat):
-            return
-        order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort: there are at most 2^16 rows
-        flat = flat[order]
-        ends = np.flatnonzero(np.concatenate([flat[1:] != flat[:-1], [True]]))
-        running = gradient[order // FEATURES]
-        np.cumsum(running, axis=0, out=running)
-        summed = running[ends]
-        summed[1:] -= running[ends[:-1]]
-        touched = flat[ends]
-        self.seen[which][touched] += np.diff(ends, prepend=-1)
-        square = self.squares[which][touched]
-        square += summed * summed
-        self.squares[which][touched] = square
-        np.sqrt(square, out=square)
-        summed *= RATE
-        summed /= square
-        weights[touched] -= summed
-
-    def learn(self, ids: np.ndarray, hashes: np.ndarray) -> None:
-        for at in range(0, len(ids), _LEARN):
-            cls, rows, p, where, word, word_rows, q = _forward(self.model, ids[at : at + _LEARN], hashes[at : at + _LEARN])
-            p[np.arange(len(cls)), cls] -= 1
-            self._down(0, self.model.class_weights, rows, p)
-            q[np.arange(len(where)), word] -= 1
-            self._down(1, self.model.word_weights, word_rows, q)
-
-    def updates(self) -> Iterator[tuple[int, bytes]]:
-        """By block: the changes of its rows times how often they were touched, and those numbers."""
-        for table, (new, old, seen) in enumerate(zip((self.model.class_weights, self.model.word_weights), self.first, self.seen)):
-            size = len(new) // _BLOCKS
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.observed = np.zeros((LEVELS, WAYS * ROWS), np.int64)
+        self.expected = np.zeros((LEVELS, WAYS, ROWS))
+        self.tokens = 0
+
+    def add(self, which: np.ndarray, hashes: np.ndarray) -> None:
+        for at in range(0, len(which), _CHUNK):
+            some = slice(at, at + _CHUNK)
+            for level in range(LEVELS):
+                rows, digits, p = _level(self.model, level, which[some], hashes[:, some])
+                self.observed[level] += np.bincount((rows + digits * ROWS).ravel(), minlength=WAYS * ROWS)
+                np.exp(p, out=p)
+                p *= (1 / (p @ _ONES))[:, None]
+                columns = np.ascontiguousarray(p.T, np.float64)
+                for k in range(WAYS - 1):
+                    for r in rows:
+                        np.add.at(self.expected[level, k], r, columns[k])
+        self.tokens += len(which)
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """By block: the observed and the expected counts of its rows. The last digit's expected count is what the others leave."""
+        size = ROWS // _BLOCKS
+        for level in range(LEVELS):
+            observed = self.observed[level].reshape(WAYS, ROWS)
+            self.expected[level, -1] = np.maximum(observed.sum(0) - self.expected[level, :-1].sum(0), 0)
+            both = np.stack([observed, self.expected[level]]) / _SCALE
             for b in range(_BLOCKS):
-                own = slice(b * size, (b + 1) * size)
-                if seen[own].any():
-                    change = (new[own] - old[own]) * seen[own, None]
-                    yield table * _BLOCKS + b, np.concatenate([change, seen[own, None]], 1).astype(np.float32).tobytes()
+                part = both[:, :, b * size : (b + 1) * size]
+                if part.any():
+                    yield level * _BLOCKS + b, part.astype(np.float16).tobytes()
+        self.clear()
 
 
-def _summed(updates: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _summed(sums: DataFrame, kind: str, by: tuple[str, ...]) -> DataFrame:
     schema = pa.schema([*((c, pa.int64()) for c in by), ("v", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
-        total = np.zeros(len(group.column("v")[0].as_py()) // 4, np.float64)
+        total = 0.0
         for v in group.column("v"):
-            total += np.frombuffer(v.as_py(), np.float32)
+            total = total + np.frombuffer(v.as_py(), kind).astype(np.float64)
         return pa.Table.from_pydict({c: [group.column(c)[0].as_py()] for c in by} | {"v": [total.astype(np.float32).tobytes()]}, schema=schema)
 
-    return updates.groupBy(*by).applyInArrow(run, ", ".join([*(f"{c} long" for c in by), "v binary"]))
+    return sums.groupBy(*by).applyInArrow(run, ", ".join([*(f"{c} long" for c in by), "v binary"]))
 
 
-def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Every round: tasks take gradient steps from the shared weights over another share of the documents, and the weights move by the mean of
-    their changes, a row's weighted by how often it was touched. All documents are learned from once.
+def train(docs: DataFrame, model: Model, rounds: tuple[int, ...] = ROUNDS) -> Model:
+    """Every round: tasks add up the gradient over another share of the documents, all at the same weights, and the weights take one step. All
+    documents are learned from once.
 
-    Changes are summed by block in two steps, so that a task's share stays small however many tasks there are; the driver gets one set of
-    weights, whose size is fixed.
+    The gradient of a weight is the observed less the expected count of its row and digit, and the step is scaled by both, as in iterative
+    scaling: STEP times the logarithm of their quotient, PRIOR_COUNT added to each. What is learned depends on the documents alone and not
+    on how they are dealt to tasks. Sums are added up by block in two steps, so that no group grows with the number of tasks beyond _MERGED-ths;
+    the driver gets one set of weights, whose size is fixed.
     """
     common.tune(docs.sparkSession)
-    schema = pa.schema([("block", pa.int64()), ("salt", pa.int64()), ("v", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("task", pa.int64()), ("v", pa.binary())])
 
     def learner(shared: Model) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            ids, learn, any_text = Ids(shared), Learner(shared), False
+            ids, sums, task = Ids(shared), Sums(shared), TaskContext.get().partitionId() // _MERGED
             for batch in common.small(batches):
-                texts = common.texts_of(batch)
-                if texts:
-                    any_text = True
-                    learn.learn(*histories([ids.of(words_of(t)) for t in texts]))
-            if any_text:
-                salt = TaskContext.get().partitionId() % 64
-                yield from common.batches(((b, salt, v) for b, v in learn.updates()), schema, 64)
+                numbers, hashes = histories([ids.of(words_of(t))[1] for t in common.texts_of(batch)])
+                sums.add(classes(numbers), hashes)
+                if sums.tokens > _FLUSH:
+                    yield from common.batches(((b, task, v) for b, v in sums.blocks()), schema, 64)
+            yield from common.batches(((b, task, v) for b, v in sums.blocks()), schema, 64)
 
         return run
 
-    for r in range(rounds):
-        share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select(F.col("text").cast("string").alias("text"))
-        updates = share.mapInArrow(learner(model), "block long, salt long, v binary")
-        moved = _summed(_summed(updates, ("block", "salt")).select("block", "v"), ("block",)).toArrow()
-        tables = [model.class_weights.copy(), model.word_weights.copy()]
-        for block, v in zip(moved.column("block").to_pylist(), moved.column("v")):
-            own = tables[block // _BLOCKS]
-            size, at = len(own) // _BLOCKS, block % _BLOCKS * (len(own) // _BLOCKS)
-            rows = np.frombuffer(v.as_py(), np.float32).reshape(size, -1)
-            own[at : at + size] += rows[:, :-1] / np.maximum(rows[:, -1:], 1)
-        model = Model(**{**vars(model), "class_weights": tables[0], "word_weights": tables[1]})
+    tenth, first = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(sum(rounds))), 0
+    for share in rounds:
+        own = docs.where((tenth >= first) & (tenth < first + share)).select(F.col("text").cast("string").alias("text"))
+        first += share
+        parts = own.mapInArrow(learner(model), "block long, task long, v binary")
+        whole = _summed(_summed(parts, "<f2", ("block", "task")).select("block", "v"), "<f4", ("block",)).toArrow()
+        weights, size = model.weights.copy(), ROWS // _BLOCKS
+        for block, v in zip(whole.column("block").to_pylist(), whole.column("v")):
+            observed, expected = _SCALE * np.frombuffer(v.as_py(), np.float32).astype(np.float64).reshape(2, WAYS, size) + PRIOR_COUNT
+            weights[block // _BLOCKS, block % _BLOCKS * size : (block % _BLOCKS + 1) * size] += (STEP * np.log(observed / expected)).T
+        model = replace(model, weights=np.clip(weights, -_BOUND, _BOUND))
     return model
 
 
-_HEAD_ROWS = "doc_id long, h long, token binary, tf long, n_tokens long, known long, base double, model double"
+_SUMS = "n_tokens long, known long, base double, model double"
 
 
 def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each document with what the head tells, and a row for each of its distinct other tokens.
+    """A row for each document with what the head and the model tell (column sums), and a row for each of its distinct tokens beyond the head.
 
     The document's own row has a token with a blank, which no token has, and which is spread by its content.
     """
-    names = [x.split()[0] for x in _HEAD_ROWS.split(", ")]
-    schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64()))))
-    logs = np.log10(model.count + ADD)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    inner = pa.struct(list(zip([x.split()[0] for x in _SUMS.split(", ")], kinds)))
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("token", pa.binary()), ("tf", pa.int64()), ("sums", inner)])
+    logs, mass = np.log10(model.count + ADD), np.log10(np.maximum(model.mass, 1e-300))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(model)
-        n = ids_of.n
         for batch in common.small(batches):
             words = [words_of(t) for t in common.texts_of(batch)]
-            docs_ids = [ids_of.of(w) for w in words]
-            found = log10_head(model, *histories(docs_ids))
+            found = [ids_of.of(w) for w in words]
+            numbers, hashes = histories([n for _, n in found])
+            which = classes(numbers)
+            modelled = log10_classes(model, which, hashes) - np.take(mass, which)
             tokens, times, n_rest, sums = [], [], [], []
             at = 0
-            for own, ids, h in zip(words, docs_ids, batch.column(1).to_pylist()):
-                head = ids[ids < n]
-                unclassed = head[head >= CLASSES * WORDS]
-                tail = Counter([own[i] for i in np.flatnonzero(ids >= n).tolist()])
-                model_sum = found[at : at + len(ids)].sum() + logs[unclassed].sum() - model.rest_log * (len(unclassed) + len(ids) - len(head))
-                at += len(ids)
-                sums.append((len(ids), len(head), logs[head].sum() - model.base_log * len(ids), model_sum))
+            for own, (places, _), h in zip(words, found, batch.column(1).to_pylist()):
+                head = np.take(logs, places[places >= 0]).sum()
+                tail = Counter([own[i] for i in np.flatnonzero(places < 0).tolist()])
+                n = len(places)
+                sums.append((n, n - tail.total(), head - model.base_log * n, modelled[at : at + n].sum() + head))
+                at += n
                 n_rest.append(len(tail))
                 tokens.append(b" %d" % h)
                 tokens.extend(tail)
@@ -315,14 +317,14 @@ def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
             each = np.array(n_rest) + 1
             first = np.cumsum(each) - each
             whose = pa.array(np.repeat(np.arange(len(each)), each))
-            columns = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(tokens, pa.binary()), pa.array(times, pa.int64())]
-            for values, kind in zip(zip(*sums), (np.int64, np.int64, np.float64, np.float64)):
-                column = np.zeros(len(tokens), kind)
-                column[first] = values
-                columns.append(pa.array(column))
+            told = np.full(len(tokens), -1)
+            told[first] = np.arange(len(each))
+            per_doc = pa.StructArray.from_arrays([pa.array(np.array(c), k) for c, k in zip(zip(*sums), kinds)], fields=list(inner))
+            columns = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(tokens, pa.binary()), pa.array(times, pa.int64()), per_doc.take(pa.array(told, mask=told < 0))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.col("text").cast("string").alias("text")).mapInArrow(run, _HEAD_ROWS)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, f"doc_id long, h long, token binary, tf long, sums struct<{_SUMS.replace(' ', ': ').replace(',:', ',')}>")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -336,8 +338,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     met = _first_pass(docs, model).join(rare, "token", "left")
     c = F.coalesce("n", F.lit(0))
     parts = met.groupBy("doc_id", "h").agg(
-        F.count_if(F.col("n_tokens") > 0).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum(F.col("tf") * F.log10(c + F.lit(ADD))).alias("tail"), F.sum("base").alias("base"), F.sum("model").alias("model"),
+        F.count("sums").alias("copies"), F.sum("sums.n_tokens").alias("n_tokens"), F.sum(F.coalesce("sums.known", F.when(c > 0, F.col("tf")).otherwise(0))).alias("known"),
+        F.sum(F.col("tf") * F.log10(c + F.lit(ADD))).alias("tail"), F.sum("sums.base").alias("base"), F.sum("sums.model").alias("model"),
     )
     each = lambda x: x / F.col("copies")
     out = parts.select(
@@ -355,8 +357,9 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     Learns from the whole texts of all rows that aren't held out: counts of all their tokens, and one pass of gradient steps.
-    score is the log10 probability of the text and its end: of each token's class given the words before, of the word in its class for the most
-    frequent CLASSES x WORDS tokens, and of the smoothed count among all others for those, unseen ones included, so it is normalised.
+    score is the log10 probability of the text and its end: of each token's class, digit by digit, given the words before, and of the token
+    among those of its class by smoothed counts, where each shared class keeps a place for tokens that weren't seen. So it is normalised over
+    all tokens, whatever the size of the table.
     Null and empty texts have one token, the end; a null id counts as empty text for its hash; an empty table gives none.
     """
     learned = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
