@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch on the way to a Python worker. Texts may be long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows, and about the bytes, of one Arrow batch on the way to a Python worker: texts may be long, so batches stay small by both.
+ARROW_ROWS, ARROW_BYTES = 256, 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the memory of a Python worker's batch, whatever the length of the texts. Read when a plan starts to run."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def tune(spark: SparkSession) -> None:
+    """Bounds the memory of a Python worker's batch, whatever the length of the texts (a longer one stands alone). The same for all operators of
+    this package, so it doesn't matter which of several lazy plans runs first."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ from loomset.llm import common
 
 #: Errors allowed, as a share of an item's normalised characters.
 ERROR_RATE = 0.1
-#: Items with fewer normalised characters are too common to be told from chance and match nothing.
+#: Items with fewer normalised characters have no budget: they match exactly, as whole words. Others are told from chance with errors too.
 MIN_CHARS = 24
 #: Characters of benchmark text that one pass over the documents takes: what is sent to the tasks has this bound.
 BLOCK_CHARS = 4_000_000
@@ -88,7 +88,7 @@ class Items:
     rate: float
 
     def __post_init__(self) -> None:
-        self.budget = [int(len(t) * self.rate) for t in self.texts]
+        self.budget = [int(len(t) * self.rate) if len(t) >= MIN_CHARS else 0 for t in self.texts]
         self.automaton = None
 
     def __getstate__(self) -> dict:
@@ -124,6 +124,8 @@ class Items:
                 if held and held[0] == 0:
                     continue
                 item, origin = self.texts[i], last + 1 - size - place
+                if len(item) < MIN_CHARS and (text[origin - 1 : origin].isalnum() or text[last + 1 : last + 2].isalnum()):
+                    continue  # inside a word
                 if origin >= 0 and text.startswith(item, origin):
                     found[i] = 0, origin + len(item)
                     continue
@@ -138,8 +140,8 @@ class Items:
         return [(i, *x) for i, x in found.items()]
 
 
-def _blocks(benchmark: DataFrame, rate: float) -> Iterator[Items]:
-    """The distinct normalised items, each with its smallest id, in blocks of a bounded size."""
+def _blocks(benchmark: DataFrame, rate: float, least: int) -> Iterator[Items]:
+    """The distinct normalised items of `least` characters or more, each with its smallest id, in blocks of a bounded size. One block is held at a time."""
     schema = pa.schema([("item_id", pa.int64()), ("item", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,24 +149,24 @@ def _blocks(benchmark: DataFrame, rate: float) -> Iterator[Items]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(t) for t in common.texts_of(batch)], pa.string())], schema=schema)
 
     plain = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = plain.mapInArrow(run, "item_id long, item string").where(F.length("item") >= MIN_CHARS)
+    items = plain.mapInArrow(run, "item_id long, item string").where(F.length("item") >= max(1, least))
     items = common.kept(items.groupBy("item").agg(F.min("item_id").alias("item_id")))
     n = -(-(items.agg(F.sum(F.length("item"))).first()[0] or 0) // BLOCK_CHARS)
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).orderBy("item").collect()
         yield Items([r["item_id"] for r in rows], [r["item"] for r in rows], rate)
 
 
 FOUND = "doc_id long, item_id long, distance int, budget int, item_chars int, end_norm int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = 1) -> DataFrame:
     """One row per document and item that stands in it with at most rate x its length in edits (insert, delete, substitute).
 
     Both are lower-cased and their white space is made single spaces; a match may start and end anywhere. distance is the least
-    one; end_norm the first place after such a match in the normalised text. The benchmark is the query set: it goes to the
+    one; end_norm the first place after such a match in the normalised text (of several equally near, one of them, the same each time). The benchmark is the query set: it goes to the
     tasks in blocks of at most about BLOCK_CHARS characters, one pass over the documents each. Null and empty texts and
-    items match nothing, nor do items under MIN_CHARS; items with equal normalised text count once, by the smallest id;
+    items match nothing. Items under MIN_CHARS match exactly and as whole words only, those under `least` not at all; items with equal normalised text count once, by the smallest id;
     repeated documents give repeated rows. No shuffle.
     """
     spark = docs.sparkSession
@@ -185,20 +187,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
         return run
 
-    for n, items in enumerate(_blocks(benchmark, rate)):
+    for n, items in enumerate(_blocks(benchmark, rate, least)):
         found = plain.mapInArrow(searched(items), FOUND)
         out = found if n == 0 else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """The rows of `docs`, in its columns, in whose text no item is found; rules and odd cases as in matches(). No shuffle."""
     spark = docs.sparkSession
     common.tune(spark)
-    blocks = list(_blocks(benchmark, ERROR_RATE))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
-    for items in blocks:
+    for items in _blocks(benchmark, ERROR_RATE, least):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

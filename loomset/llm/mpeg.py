@@ -26,8 +26,6 @@ BITRATES = {
 #: Hz by index, for MPEG-1, 2 and 2.5.
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000, 8000)}
 
-#: Rows of an Arrow batch: texts, streams and payloads of two stages stand in memory together.
-ROWS = 32
 
 BLOCK = 576  # bytes of payload, and samples, of a frame
 _OVERHEAD = 4 + 2 + 9  # header, checksum, side information of a mono MPEG-2 frame
@@ -147,14 +145,15 @@ def parse(data: bytes) -> Stream:
     """Reads a stream: ID3 tags, Xing/Info table, frames.
 
     A frame counts where its header is valid and the next frame, of the same version, layer and rate, follows at its end (or
-    the stream ends there); else the reader moves on by a byte, counted in `skipped`. Checksums of layer III frames are
+    the stream ends there, or nothing but an ID3v1 tag follows: one inside a frame is audio); else the reader moves on by a byte, counted in `skipped`. Checksums of layer III frames are
     verified, and a frame that fails is counted in `broken` and still placed. Runs of equal headers are taken at once.
     """
     out = Stream()
     at = _tag(data, out)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= 128 else len(data)
+    end = len(data)
+    last_tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else -1
     raw, first = np.frombuffer(data, np.uint8), True
-    while at + 4 <= end:
+    while at + 4 <= end and at != last_tag:
         head = header(data, at)
         if head is None or at + head[3] > end:
             nxt = data.find(b"\xff", at + 1, end)
@@ -162,7 +161,7 @@ def parse(data: bytes) -> Stream:
             out.skipped, at = out.skipped + nxt - at, nxt
             continue
         version, layer, rate, length, protected, side = head
-        follower = header(data, at + length) if at + length < end else head
+        follower = header(data, at + length) if at + length < end and at + length != last_tag else head
         if follower is None or (follower[0], follower[1], follower[2]) != (version, layer, rate):
             out.skipped, at = out.skipped + 1, at + 1
             continue
@@ -202,7 +201,7 @@ def _table(data: bytes, at: int, length: int, side: int) -> tuple[int | None, in
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and media (binary) of each row of `docs`: its whole text as UTF-8, padded, in MPEG audio frames. Null texts count as empty."""
-    common.tune(docs.sparkSession, ROWS)
+    common.tune(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +222,7 @@ def read(media: DataFrame) -> DataFrame:
     """
     import hashlib
 
-    common.tune(media.sparkSession, ROWS)
+    common.tune(media.sparkSession)
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int32()] + [pa.int64()] * 6
     schema = pa.schema(list(zip([x.split()[0] for x in READ.split(", ")], kinds)))
 

@@ -48,13 +48,14 @@ def test_tables(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, ""), (5, "short"), (None, item + " again and again and again")], "item_id long, text string")
     edited = item.replace("quick", "quik").replace("others", "other")
     docs = docs_of([(1, None), (2, ""), (3, f"x y {item}\n z"), (4, f"a {edited} b"), (4, f"a {edited} b"), (None, item), (5, "clean text " * 5000), (6, item[:40])])
-    docs = docs.selectExpr("*", "1 as item_id")
-    want = [(None, 1, 0), (3, 1, 0), (4, 1, 2), (4, 1, 2)]
+    docs = docs.selectExpr("*", "1 as item_id").unionByName(docs_of([(7, "come SHORT, of it"), (8, "shortly or unshort")]).selectExpr("*", "1 as item_id"))
+    want = [(None, 1, 0), (3, 1, 0), (4, 1, 2), (4, 1, 2), (7, 5, 0)]
     key = lambda x: (x[0] or 0, x)
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in D.matches(docs, bench).collect()), key=key) == want
     kept = D.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 8]
     monkeypatch.setattr(D, "BLOCK_CHARS", 60)  # several blocks, the same result
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in D.matches(docs, bench).collect()), key=key) == want
     assert D.matches(docs_of([]), bench).count() == 0 and D.matches(docs, bench.limit(0)).count() == 0
-    assert D.drop_contaminated(docs, bench.limit(0)).count() == 8
+    assert D.drop_contaminated(docs, bench.limit(0)).count() == 10
+    assert D.matches(docs, bench, least=24).where("doc_id = 7").count() == 0

@@ -51,6 +51,10 @@ def test_resynchronises_and_finds_broken_checksums():
     bad[tag + 648 + 7] ^= 1
     s = mpeg.parse(bytes(bad))
     assert (s.broken, s.checked, len(s.offsets)) == (1, 5, 6)
+    for at in range(400, 576):  # TAG in the last frame is payload
+        text = b"a" * at + b"TAG" + b"b" * (573 - at) if at <= 573 else b"a" * 570 + b"TAGTAG"[: 576 - 570]
+        tagged = mpeg.encode(mpeg.pad(text), len(text))
+        assert b"".join(mpeg.parse(tagged).bodies) == text and b"".join(mpeg.parse(tagged + b"TAG" + bytes(125)).bodies) == text
     assert mpeg.parse(b"").offsets == [] and mpeg.parse(b"no audio \xff\xff here").offsets == []
 
 
