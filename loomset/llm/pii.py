@@ -28,6 +28,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PLACE = re.compile(r"[0-9@]|\[at\]|\(at\)")
 _WORD = re.compile(rf"[^{_SPACE}]*+")
+_BLANKS = re.compile(rf"[{_SPACE}]*+")
 
 
 def luhn(digits: str) -> bool:
@@ -75,6 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 MARKED = (
     "Call me at {phone|(999) 555-9999} tomorrow", "My number is {phone|999-555-9999} thanks", "Phone {phone|999.555.9999} or come by", "tel {phone|+99 999 9999 999} office",
     "Reach us on {phone|+1 (999) 555-9999} now", "She left {phone|0999 999 9999} as contact", "fax {phone|(099) 9999-9999}, please", "mobile {phone|+99 (9) 99 99 99 99} anytime", "Appelez le {phone|09 99 99 99 99} demain",
+    "Telefon: {phone|099 9999999} abends", "Tel. {phone|0999/9999999} oder", "ring {phone|(999)999-9999} first", "number {phone|9999999999} is mine", "Anruf unter {phone|+99-999-9999999} bitte",
     "Write to {email|xxxx.xx@xxxxxx.com} today", "mail {email|xxx99@xxxx} soon", "contact {email|xxxx[at]xxxxx.com} for more", "use {email|xxx(at)xxxx(dot)org} instead", "Send it to {email|xxxxx_xx@xxx.xxxx.net}, thanks", "Mail an {email|xxxx-xxx@xxx.de} bitte",
     "server {ip|99.9.99.199} is down", "from {ip|199.99.9.99} came noise", "host {ip|fe99::9ff:fe99:9} answered", "gateway {ip|2009:db9::9} replied",
     "card {card|4999 9999 9999 9999} was used", "paid with {card|4999-9999-9999-9999} yesterday", "the card {card|5999.9999.9999.9999} expired", "account {card|4999999999999999} please",
@@ -83,28 +85,35 @@ MARKED = (
 UNMARKED = (
     "Version {9.9.9} came out", "Licensed under CC BY-NC {9.9.}", "the License, Version {9.9.}", "License, version {9.}", "in the year {9999} it was", "it cost {$99.99} then", "at {99:99} sharp", "on {9999-99-99} we met",
     "chapter {99} and chapter {9,}", "some {9,999,999} people", "item {#99} is gone", "build {v9.99.9} passed", "water is {x9x,} they said", "a set of {99-99} pages", "ratio {9.99} or {9/9}", "password={x9xx99xx9x9x99x9} here", 'token = "{x99x9x9xx9x9x9x99xx99x9x9x99x9}" there',
-    "key {XXXX9XXX99XX9XXX9X9} leaked", "sha {9x9x9x9x9x9x99xx} done", "room {9x} on floor {9th}", "about {99%} of it", "see {[9]} and {(9)} there", "x{99} y{99}", "order {99999999} shipped", "id {999999} in table {9_9}", "handle {@xxxxx} wrote", "{@9x} said so", "a {9xx-9xx} b", "{99.99.9999} war es", "{9} {9} {9} {9}", "{999} {999} {9999} rows",
+    "key {XXXX9XXX99XX9XXX9X9} leaked", "sha {9x9x9x9x9x9x99xx} done", "room {9x} on floor {9th}", "about {99%} of it", "see {[9]} and {(9)} there", "x{99} y{99}", "order {99999999} shipped", "id {999999} in table {9_9}", "handle {@xxxxx} wrote", "{@9x} said so", "a {9xx-9xx} b", "{99.99.9999} war es", "{9} {9} {9} {9}", "{999} {999} {9999} rows", "there were {999} {999} {9999} people", "years {9999} {9999} and {9999} again", "counts of {99} {999} {9999} in all", "see pages {99} {99} {99} {999}", "steps {9} {9} {9} {9} {9} {9} {99} {99} {99} {99} {99} done", "lottery {9} {99} {99} {99} {99} {99}", "{99} {99} {99} {99} {99} {99} {99}",
 )
 
 
-def labelled_table(copies: int = 12, seed: int = 11) -> list[list[tuple[str, str]]]:
-    """Sentences as (token, label) lists: the marked and unmarked sentences, some times each, with other digits and letters."""
+#: How two or three pieces of personal data stand next to each other.
+JOINED = ("{0} {1}", "{0}, {1}", "{0}; {1}", "{0} / {1}", "{0} or {1}", "contacts: {0} {1} {2}", "reach {0}, {1}, {2} now", "both {0} and {1} work", "{0} {1} today", "see ({0}, {1})", "{0} - {1}")
+
+
+def labelled_table(copies: int = 8, seed: int = 11, joined: int = 40) -> list[list[tuple[str, str]]]:
+    """Sentences as (token, label) lists: the marked and unmarked sentences, some times each, with other digits and letters, and each time
+    `joined` more in which several pieces of personal data stand next to each other."""
     rng, rows = random.Random(seed), []
 
     def filled(text: str) -> str:
         return re.sub("[9xX]", lambda m: rng.choice({"9": "0123456789", "x": "abcdefghijklmnoprstuvw", "X": "ABCDEFGHIJKLMNOPQRST"}[m[0]]), text)
 
+    pieces = [m[0] for s in MARKED for m in re.finditer(r"\{\w+\|[^}]*\}", s)]
     for _ in range(copies):
-        for sentence in (*MARKED, *UNMARKED):
+        mixed = [re.sub(r"\{(\d)\}", lambda m, some=rng.sample(pieces, 3): some[int(m[1])], rng.choice(JOINED)) for _ in range(joined)]
+        for sentence in (*MARKED, *UNMARKED, *mixed):
             tokens: list[tuple[str, str]] = []
-            for part in re.split(r"(\{[^}]*\}\S*)", sentence):
-                marked = re.fullmatch(r"\{(?:(\w+)\|)?([^}]*)\}(\S*)", part)
+            for part in re.split(r"([^\s{}]*\{[^}]*\}\S*)", sentence):
+                marked = re.fullmatch(r"([^\s{}]*)\{(?:(\w+)\|)?([^}]*)\}(\S*)", part)
                 if not marked:
                     glued = bool(tokens) and not part.startswith(" ") or not tokens
                     tokens += [(w, "O") for w in part.split()] if part.strip() or glued else []
                     continue
-                kind = marked[1]
-                words = [w for w in (filled(marked[2]) + marked[3]).split()]
+                kind = marked[2]
+                words = [w for w in (marked[1] + filled(marked[3]) + marked[4]).split()]
                 tokens += [(w, "O" if not kind else ("B-" if i == 0 or kind in ("email", "ip") else "I-") + kind) for i, w in enumerate(words)]
             rows.append(tokens)
     return rows
@@ -117,11 +126,15 @@ def _class(c: str) -> str:
     return "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
+def _shapes(token: str) -> tuple[str, str]:
+    full = "".join(map(_class, token))
+    return full, re.sub(r"(?s)(.)\1+", r"\1", full)
+
+
 def shapes(token: str) -> tuple[str, str]:
-    """A token's shape up to 24 characters, and the same with runs collapsed."""
-    full = "".join(map(_class, token[:24]))
-    return full, re.sub(r"(.)\1+", r"\1", full)
+    """A token's shape, and the same with runs collapsed. Long tokens aren't remembered."""
+    return _shapes(token) if len(token) <= 64 else _shapes.__wrapped__(token)
 
 
 def sensitive(token: str) -> bool:
@@ -139,7 +152,7 @@ def near_features(token: str, where: str) -> list[str]:
     if not token:
         return [f"{where}none"]
     word = token.strip("\"'.,;:!?()").lower()
-    return [f"{where}s={shapes(token)[1][:8]}"] + ([f"{where}w={word}"] if word.isalpha() and len(word) <= 12 else [])
+    return [f"{where}s={shapes(token)[1]}"] + ([f"{where}w={word}"] if word.isalpha() else [])
 
 
 @dataclass
@@ -306,9 +319,14 @@ def islands_of(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
 
 
 def _beside(text: str, held: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], str]:
-    before = text[max(0, held[0][0] - 48) : held[0][0]].split()
-    after = text[held[-1][1] : held[-1][1] + 48].split()
-    return before[-1] if before else "", held, after[0] if after else ""
+    end = held[0][0]
+    while end and text[end - 1] in _SPACE:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in _SPACE:
+        start -= 1
+    after = _BLANKS.match(text, held[-1][1]).end()
+    return text[start:end], held, text[after : _WORD.match(text, after).end()]
 
 
 def _holds(kind: str, span: str) -> bool:
@@ -317,7 +335,7 @@ def _holds(kind: str, span: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
-        return 9 <= len(digits) <= 15
+        return 9 <= len(digits) <= 15 and not any(c.isalpha() for c in span)
     if kind == "email":
         return bool(re.search(r"[A-Za-z0-9](?:@|\[at\]|\(at\))[A-Za-z0-9]", span))
     try:
@@ -326,8 +344,34 @@ def _holds(kind: str, span: str) -> bool:
         return False
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without the quotes and punctuation around it, and without a bracket whose other half lies outside."""
+    while start < end:
+        inside = text[start:end]
+        if text[start] in "([" and text[end - 1] in ")]" and not set(inside[1:-1]) & set("()[]"):
+            start, end = start + 1, end - 1
+        elif text[start] in "\"'<,;:" or (text[start] in "([" and inside.count("(") + inside.count("[") > inside.count(")") + inside.count("]")):
+            start += 1
+        elif text[end - 1] in "\"'.,;:!?>-/\x20" or (text[end - 1] in ")]" and inside.count("(") + inside.count("[") < inside.count(")") + inside.count("]")):
+            end -= 1
+        else:
+            break
+    return start, end
+
+
+def _parts(text: str, places: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The tokens of an overlong span, cut where a piece seems to begin: at an opening bracket or plus sign, or after a sign that separates."""
+    out: list[list[tuple[int, int]]] = []
+    for s, e in places:
+        if not out or text[s] in "(+" or text[out[-1][-1][1] - 1] in ",;/":
+            out.append([])
+        out[-1].append((s, e))
+    return out
+
+
 def find_all(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]]]:
-    """(kind, start, end, base) of each text, by kind and then start. A decoded span that touches a base span is left out."""
+    """(kind, start, end, base) of each text, by kind and then start. A decoded span that touches a base span is left out; one that fails the
+    exact check of its kind is tried in parts."""
     out, runs, whose = [], [], []
     for i, text in enumerate(texts):
         out.append([(*x, True) for x in base_spans(text)])
@@ -344,13 +388,11 @@ def find_all(texts: list[str], field: Field) -> list[list[tuple[str, int, int, b
             while end < len(labels) and LABELS[labels[end]] == "I-" + name[2:]:
                 end += 1
             if name != "O":
-                s, e = places[at][0], places[end - 1][1]
-                while s < e and text[s] in "\"'<":
-                    s += 1
-                while s < e and text[e - 1] in "\"'.,;:!?>":
-                    e -= 1
-                if _holds(name[2:], text[s:e]) and not any(b < e and s < f for _, b, f, _ in base):
-                    out[i].append((name[2:], s, e, False))
+                whole = places[at:end]
+                for part in [whole] if _holds(name[2:], text[slice(*_trimmed(text, whole[0][0], whole[-1][1]))]) else _parts(text, whole):
+                    s, e = _trimmed(text, part[0][0], part[-1][1])
+                    if _holds(name[2:], text[s:e]) and not any(b < e and s < f for _, b, f, _ in base):
+                        out[i].append((name[2:], s, e, False))
             at = end
     return [sorted(x, key=lambda y: (KINDS.index(y[0]), y[1], y[2])) for x in out]
 

@@ -73,6 +73,36 @@ def test_held_out_accuracy_and_clean_text(field):
     assert pii.find_all(clean, field) == [[]] * len(clean)
 
 
+#: Sentences of other templates than the labelled table's, with what stands in them.
+OTHERS = [
+    ("Call (415) 555-0199 (212) 555-0144 now", [("phone", "(415) 555-0199"), ("phone", "(212) 555-0144")]),
+    ("write bo[at]example.com (415) 555-0199 today", [("email", "bo[at]example.com"), ("phone", "(415) 555-0199")]),
+    ("Phones: 415-555-0199, 212-555-0144", [("phone", "415-555-0199"), ("phone", "212-555-0144")]),
+    ("Kontakt: 030 1234567", [("phone", "030 1234567")]),
+    ("(415)555-0199", [("phone", "(415)555-0199")]),
+    ("You may ring (312) 555-0107, (312) 555-0108 and (312) 555-0109.", [("phone", "(312) 555-0107"), ("phone", "(312) 555-0108"), ("phone", "(312) 555-0109")]),
+    ("his line (646-555-0113) rang", [("phone", "646-555-0113")]),
+    ("billing: ann(at)shop.net, 5500.0000.0000.0004", [("email", "ann(at)shop.net"), ("card", "5500.0000.0000.0004")]),
+    ("nodes fe80::1ff:fe23:4567:890a and 2001:db8::17 replied", [("ip", "fe80::1ff:fe23:4567:890a"), ("ip", "2001:db8::17")]),
+    ("Büro 040 7654321 / 0171 555 0199", [("phone", "040 7654321"), ("phone", "0171 555 0199")]),
+    ("ask me[at]here.org or you[at]there.org", [("email", "me[at]here.org"), ("email", "you[at]there.org")]),
+    ("numéro 01 42 68 53 00 svp", [("phone", "01 42 68 53 00")]),
+]
+
+
+def test_neighbours_and_other_templates(field):
+    want = {(i, *x) for i, (_, spans) in enumerate(OTHERS) for x in spans}
+    texts = [t for t, _ in OTHERS]
+    got = {(i, k, texts[i][s:e]) for i, spans in enumerate(pii.find_all(texts, field)) for k, s, e, _ in spans}
+    assert got >= {x for x in want if x[0] < 5}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want), (sorted(want - got), sorted(got - want))
+
+
+def test_neighbours_far_away_count_as_near_ones(field):
+    for blanks in (" ", " " * 500):
+        assert [(k, e - s) for k, s, e, _ in pii.find_all([f"server{blanks}fe80::1ff:fe23:1{blanks}answered"], field)[0]] == [("ip", 16)]
+
+
 def test_query_and_redaction(spark, docs_of):
     text = "né a.b@example.com and +1 (988) 555-2485 and (988) 555-2485 x"
     docs = docs_of([(10, text), *ODD]).selectExpr("*", "array(1) as pii_spans")
