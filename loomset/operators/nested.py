@@ -50,13 +50,14 @@ def leaked_texts(units: Column, text: Column) -> Column:
 
 
 def unresolved(turns: Column) -> Column:
-    """Ids of wrong or speculative turns that nothing resolves: no resolution after the first turn names them, and none after them carries a claim."""
+    """Ids of turns that are wrong or speculative, by operation or claim, and that nothing resolves: no resolution after the first turn names them,
+    and none after them carries a claim."""
     placed = F.transform(turns, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     solving = F.filter(placed, lambda r: r["t"]["operation"].isin(*P.RESOLUTION) & (r["i"] > 0))
     named = F.flatten(F.transform(solving, lambda r: r["t"]["revises_turns"]))
     loaded = F.filter(solving, lambda r: (F.size(r["t"]["activates_claims"]) > 0) | (F.size(r["t"]["deactivates_claims"]) > 0))
     last = F.coalesce(F.array_max(F.transform(loaded, lambda r: r["i"])), F.lit(-1))
-    wrong = F.filter(placed, lambda r: r["t"]["operation"].isin(*P.WRONG_OR_SPECULATIVE))
+    wrong = F.filter(placed, lambda r: F.coalesce(r["t"]["operation"].isin(*P.WRONG_OR_SPECULATIVE), F.lit(False)) | F.coalesce(r["t"]["claim_status"].isin("speculative", "mistaken"), F.lit(False)))
     return F.transform(F.filter(wrong, lambda r: ~F.array_contains(named, r["t"]["turn_id"]) & (r["i"] >= last)), lambda r: r["t"]["turn_id"])
 
 

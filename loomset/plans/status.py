@@ -57,7 +57,12 @@ def broad_reason(reason: Column) -> Column:
 
 
 #: Counters of errors that pass.
-TRANSIENT = ("empty_response", "timeout", "rate_limited", "server_error")
+TRANSIENT = ("timeout", "empty_response", "rate_limited", "server_error", "invalid_json", "truncated_json")
+
+
+def transient_count(errors: Column) -> Column:
+    """How many of a step's errors, a map of counts by kind, may pass."""
+    return F.aggregate(F.map_values(F.map_filter(F.coalesce(errors, F.create_map().cast("map<string,int>")), lambda k, _: k.isin(*TRANSIENT))), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
 def transient(failure: Column, client_exceptions: Column, transients: Column) -> Column:

@@ -66,7 +66,10 @@ def facts(units: Column, summary: Column, blob: Column) -> list[Rule]:
 
 
 #: The unit types whose span must be in the source.
-CRITICAL_TYPES = ("symptom", "observed_behavior", "expected_behavior", "reproduction", "error_message", "active_constraint", "negative_constraint", "regression_expectation", "obsolete_candidate", "rejected_solution", "ambiguity_or_correction", "conflict_or_tension")
+CRITICAL_TYPES = (
+    "symptom", "observed_behavior", "expected_behavior", "reproduction", "error_message", "environment", "affected_component", "active_constraint", "negative_constraint", "regression_expectation",
+    "ambiguity_or_correction", "conflict_or_tension",
+)
 
 
 def critical(u: Column) -> Column:

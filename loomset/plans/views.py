@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.functions.text import like
+from loomset.functions import lists
+from loomset.functions.text import like, strip
 from loomset import patterns as P
 from loomset.operators.nested import exposed
 
@@ -52,10 +53,38 @@ def public_record(df: DataFrame) -> DataFrame:
     return df.select(*head, F.struct(*texts).alias("source"), F.struct(*counts).alias("candidate_metadata") if counts else F.lit(None).alias("candidate_metadata"))
 
 
-def prompts(objective: Column, utterances: Column, musts: Column) -> dict[str, Column]:
-    """The evaluation prompts: the first report, all turns, the final intent and the oracle's."""
-    bullets = F.array_join(F.transform(musts, lambda x: F.concat(F.lit("- "), x)), "\n")
+#: What the evaluation prompts say. {0} is the product's name.
+FINAL = "Please implement the following final active issue intent."
+CONCAT = ("The user may add, revise, contradict, retract, or correct earlier claims.", "Infer the final active intent from the whole conversation.", "Do not implement withdrawn, obsolete, unresolved speculative, mistaken, or rejected assumptions.")
+RECAP = ("Before implementing, recap the final active claims and separate withdrawn, mistaken, or speculative claims.", "Only implement the final active intent; do not implement intermediate guesses that were withdrawn or left unresolved.")
+JUDGE = "Judge whether a proposed patch satisfies the final active {0} intent."
+MUST, PRESERVE, INACTIVE, REJECTED, MUST_NOT = "Must satisfy:", "Preserve:", "Inactive or rejected context:", "Inactive or rejected:", "Must not satisfy / must not keep active:"
+
+
+def listed(title: str, items: Column) -> Column:
+    """A blank line, a title and a bullet for each item; null without items."""
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"\n{title}\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")))
+
+
+def prompts(final: Column, oracle: Column, turns: Column, localization: Column, product: str) -> dict[str, Column]:
+    """The evaluation modes by name: final, concatenated, recap and oracle prompts, the script of turns (JSON) and the localization prompt.
+
+    final: objective, must_satisfy, must_not_satisfy, non_goals, regression_expectations; oracle: must_satisfy, must_not_satisfy, in whose place
+    the final intent's stand where they are empty; turns: turn_id, user_utterance. `product` is the name that two modes and one prompt carry.
+    """
+    arr = lambda c: lists.ordered_distinct(F.coalesce(c, F.array().cast("array<string>")))
+    objective, must = F.coalesce(final["objective"], F.lit("")), arr(final["must_satisfy"])
+    unwanted = arr(final["must_not_satisfy"])
+    inactive = F.concat(unwanted, arr(final["non_goals"]))
+    or_else = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
+    text = lambda *parts: strip(F.concat_ws("\n", *parts))
+    said = F.transform(turns, lambda t: F.concat(F.coalesce(t["turn_id"], F.lit("None")), F.lit(": "), F.coalesce(t["user_utterance"], F.lit("None"))))
+    judged = or_else(arr(oracle["must_satisfy"]), must)
     return {
-        "initial_only_prompt": F.coalesce(F.get(utterances, F.lit(0)), F.lit("")), "concatenated_dialogue_prompt": F.array_join(utterances, "\n"),
-        "final_intent_prompt": F.concat_ws("\n", objective, bullets), "oracle_intent_prompt": F.concat_ws("\n", F.lit("Final intent:"), objective, F.lit("Must satisfy:"), bullets),
+        "final_issue_prompt": text(F.lit(f"{FINAL}\n"), F.concat(F.lit("Objective: "), objective), listed(MUST, must), listed(PRESERVE, arr(final["regression_expectations"]))),
+        "concat_dialogue_prompt": text(F.lit("\n".join(CONCAT) + "\n"), F.array_join(said, "\n"), listed(INACTIVE, inactive)),
+        f"multi_turn_{product}_script": F.to_json(F.transform(turns, lambda t: F.struct(t["turn_id"].alias("turn_id"), t["user_utterance"].alias("user_utterance")))),
+        f"recap_{product}_prompt": text(F.lit("\n".join(RECAP) + "\n\nActive objective:"), objective, listed(MUST, must), listed(REJECTED, inactive)),
+        "oracle_intent_prompt": text(F.lit(JUDGE.format(product.upper()) + "\n"), F.concat(F.lit("Final active intent: "), objective), F.coalesce(listed(MUST, judged), F.lit(f"\n{MUST}")), listed(MUST_NOT, or_else(arr(oracle["must_not_satisfy"]), unwanted))),
+        "localization_prompt": localization,
     }

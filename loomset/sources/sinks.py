@@ -49,11 +49,24 @@ def write_index(existing: DataFrame, new: DataFrame, path: str, key: str = "inst
 
 
 #: Statuses that a person looks at.
-REVIEWED = ("manual_review_required", "auto_filtered", "step_failed", "rejected", "failed", "pending")
+REVIEWED = ("manual_review_required", "needs_revision", "review_failed", "step_failed", "backtest_failed", "validation_failed")
+#: The columns of the review queue, in their order; the second name stands in where the first is null, and of two kinds.
+QUEUE = (
+    "instance_id", "repo", "status", "normalized_status", "review_mode", "human_review_expected", "filter_reason", "retry_eligible", "retry_policy", "failure_reason", "quality_gate_summary", "suggested_fix", "path",
+    "models_used", "escalated_steps",
+)
+BLANK_FOR_NULL = ("normalized_status", "review_mode", "filter_reason", "retry_policy")
 
 
 def review_queue(state: DataFrame) -> DataFrame:
-    return flat(state.where(F.col("status").isin(*REVIEWED)))
+    """The instances that a person looks at, in the queue's 15 columns: missing ones are null, models and escalations JSON text."""
+    have = dict(state.dtypes)
+    column = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
+    text = lambda n, empty: F.coalesce(F.when(F.size(n) > 0, F.to_json(n)), F.lit(empty)) if n in have and not have[n] == "string" else F.coalesce(column(n), F.lit(empty))
+    made = {n: F.coalesce(column(n), F.lit("")) for n in BLANK_FOR_NULL} | {
+        "failure_reason": F.coalesce(F.nullif(column("failure_reason"), F.lit("")), column("last_error")), "models_used": text("models_used", "{}"), "escalated_steps": text("escalations", "[]"),
+    }
+    return flat(state.where(F.col("status").isin(*REVIEWED)).select(*(made.get(n, column(n)).alias(n) for n in QUEUE)))
 
 
 def call_envelope(calls: DataFrame, allowed_headers: Sequence[str] = ("content-type", "x-request-id", "retry-after")) -> DataFrame:

@@ -104,7 +104,8 @@ def good_instance():
     turns = [t(1, "initial_imperfect_report", ["U1", "U2", "U4"]), t(2, "speculative_hypothesis", ["U1"]), t(3, "correct_previous_claim", ["U3"], ["T2"]), t(4, "confirm_final_active_intent", ["U2"])]
     oracle = {k: ["keyboard movement remains unchanged everywhere"] for k in validators.ORACLE_KEYS}
     modes = dict.fromkeys(gate.MODES, "text")
-    return ("i", True, units, ["U1", "U2", "U3", "U4", "U5"], (True, ["U3"]), ("Vertical sliders must not move while dragging", ["vertical sliders keep their place"]), oracle, turns, modes, list(said), "find the files", ["a.py"], ["file_hit_at_k", "function_hit_at_k"], ["$.dialogue"], "clean", False)
+    modes = {m.replace(r"\w+", "any"): "text" for m in modes}
+    return ("i", True, units, ["U1", "U2", "U3", "U4", "U5"], (True, ["U3"]), ("Vertical sliders must not move while dragging", ["vertical sliders keep their place"]), oracle, turns, modes, list(said), "find the files", "{}", ["a.py"], ["a.py::f"], ["file_hit_at_k", "function_hit_at_k"], ["$.dialogue"], "clean", False, None)
 
 
 def test_gate(spark):
@@ -113,18 +114,23 @@ def test_gate(spark):
     assert r.passed, r.hard_failures
     assert (r.status, r.action, r.scenario_fit, len(r.checks)) == ("accepted", "accept", True, 30)
     for change, check, status in [
-        ({"suitable": F.lit(None).cast("boolean")}, "semantic_capsule_suitable", "manual_review_required"), ({"agent_paths": F.array(F.lit("$.oracle"))}, "agent_view_no_gold_or_leakage", "rejected"),
+        ({"suitable": F.lit(None).cast("boolean")}, "semantic_capsule_suitable", "manual_review_required"), ({"agent_paths": F.array(F.lit("$.oracle"))}, "agent_view_no_gold_or_leakage", "manual_review_required"), ({"agent_text": F.lit("see tests/x.py")}, "agent_view_no_gold_or_leakage", "rejected"),
+        ({"intent": F.col("intent").withField("must_satisfy", F.array(F.lit("it uses the Hidden Cache class")))  , "units": F.concat("units", F.array(F.expr("named_struct('unit_id', 'U6', 'type', 'implementation_hint', 'text', 'the hidden cache class', 'active_by_default', false, 'expose_to_user', false)"))), "compact_unit_ids": F.concat("compact_unit_ids", F.array(F.lit("U6")))}, "non_goal_not_in_must_satisfy", "manual_review_required"),
+        ({"turns": F.transform("turns", lambda t, i: t.withField("deactivates_claims", F.when(i == 2, F.array(F.lit("sliders keep their place"))).otherwise(t["deactivates_claims"])))}, "non_goal_not_in_must_satisfy", "manual_review_required"),
+        ({"turns": F.transform("turns", lambda t, i: t.withField("claim_status", F.when(i == 3, "mistaken").otherwise(t["claim_status"])))}, "unresolved_wrong_claims_absent", "manual_review_required"),
+        ({"modes": F.map_filter("modes", lambda k, _: k != "concat_dialogue_prompt")}, "evaluation_modes_complete", "manual_review_required"),
+        ({"is_template": F.lit(True)}, "template_dialogue_specific", "manual_review_required"),
         ({"turns": F.slice("turns", 1, 2)}, "dialogue_turn_count_valid", "manual_review_required"), ({"gold_files": F.array().cast("array<string>")}, "keep_localization_metrics", "manual_review_required"),
         ({"turns": F.transform("turns", lambda t: t.withField("revises_turns", F.array().cast("array<string>")))}, "unresolved_wrong_claims_absent", "manual_review_required"),
     ]:
         r = gate.gate(base.withColumns(change)).first()
-        assert not r.checks[check] and r.status == status and not r.passed
+        assert not r.checks[check] and r.status == status and not r.passed, (check, r.status, r.hard_failures)
 
 
 def test_validators(spark):
     units = "u array<struct<unit_id:string,type:string,text:string,source:string,source_span:string,source_match_status:string,active_by_default:boolean,expose_to_user:boolean>>"
     f = lambda i, t, s="exact": (f"U{i}", t, "text", "problem_statement", "span", s, True, True)
-    ok = spark.createDataFrame([([f(1, "symptom"), f(2, "expected_behavior"), f(3, "environment", "unmatched")], "sum", "")], f"{units}, s string, b string")
+    ok = spark.createDataFrame([([f(1, "symptom"), f(2, "expected_behavior"), f(3, "non_goal", "unmatched")], "sum", "")], f"{units}, s string, b string")
     r = validators.validated(ok, "fact_extraction", F.col("u"), F.col("s"), F.col("b")).first()
     assert r.errors == [] and r.warnings == ["fact_units[2].source_span is not aligned to source"]
     bad = spark.createDataFrame([([f(1, "symptom"), f(1, "nonsense"), f(3, "implementation_hint")], "", "FAIL_TO_PASS")], f"{units}, s string, b string")
@@ -157,11 +163,65 @@ def test_construct(spark):
     assert [t.turn_id for t in compiled] == ["T1", "T2", "T3", "T4"] and compiled[0].state_delta["add_active_goals"][0] == "slider jumps backwards" and "mark_claims_speculative" in compiled[1].state_delta
     made = construct.tasks(spark.createDataFrame([tuple(issue(1).values())], ", ".join(f"{n} string" for n in issue(1)))).first()
     assert made.issue_type == "maintenance"
-    assert made.gold_intent.regions == ["sympy/x.py"] and len(made.scenario.cues) == 2
+    assert made.gold_intent.relevant_files == ["sympy/x.py"] and len(made.scenario.misleading_cues) == 4 and made.scenario.persona.style in {p[1] for p in construct.PERSONAS}
+    assert made.gold_intent.symptom and made.gold_intent.constraints[0].startswith("The fix must resolve") and made.scenario.disclosure_policy.hidden_from_agent[0] == "patch"
     gold = spark.createDataFrame([(issue(1)["patch"],)], "p string").select(construct.localization_gold(F.col("p"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.lit("x")).alias("g")).first().g
     assert gold.files == ["sympy/x.py"] and gold.functions == ["sympy/x.py::f"]
 
 
+UNITS = "array<struct<unit_id: string, type: string, text: string, source: string, source_span: string, active_by_default: boolean, expose_to_user: boolean>>"
+
+
+def test_repairs(spark):
+    def fixed(**change):
+        unit = {"unit_id": "U1", "type": "symptom", "text": "it fails", "source": "hints_text", "source_span": "it fails", "active_by_default": True, "expose_to_user": True} | change
+        return spark.createDataFrame([([tuple(unit.values())],)], f"u {UNITS}").select(construct.repaired_facts(F.col("u")).alias("u")).first().u[0].type
+
+    assert fixed() == "symptom" and fixed(text="see line 5") == fixed(text="numpy 2 breaks") == fixed(text="took 3 hours") == "implementation_hint"
+    assert fixed(text="see line 5", source="problem_statement") == "symptom" and fixed(text="since PR #12", source="problem_statement") == "implementation_hint"
+    assert fixed(source_span="this case came in long ago", source="problem_statement") == fixed(text="originates from a gist", source=None) == "implementation_hint"
+    long = [f"U{i}" for i in range(12)] + ["U1", " ", "hidden"]
+    df = spark.createDataFrame([([(f"U{i}", "symptom", "t", None, None, True, True) for i in range(12)] + [("hidden", "symptom", "t", None, None, True, False)], (long, None, [" U2 "], None))], f"u {UNITS}, r struct<introduced_units: array<string>, noisy_or_imperfect_units: array<string>, withheld_units_for_later: array<string>, imperfection_types: array<string>>")
+    r = df.select(construct.repaired_report(F.col("r"), F.col("u")).alias("r")).first().r
+    assert r.introduced_units == long[:12] and r.noisy_or_imperfect_units == [] and r.withheld_units_for_later == ["U2"] and r.imperfection_types == []
+
+    facts = [("U1", "symptom", "the reporter sees that rendering stops.", None, None, True, True), ("U2", "regression_expectation", "keyboard movement remains", None, None, True, True), ("U3", "symptom", "x" * 100 + " " + "y" * 60, None, None, True, True)]
+
+    def said(op, text, ids, first=False):
+        df = spark.createDataFrame([((op, text, ids), facts)], f"t struct<operation: string, user_utterance: string, introduced_units: array<string>>, u {UNITS}")
+        return df.select(construct.repaired_utterance(F.col("t"), F.col("u"), first).alias("s")).first().s
+
+    assert said("add_detail", "Rendering stops here.", ["U1"]) == "Rendering stops here." and said("add_detail", "", ["U1"]) == "I sees that rendering stops."
+    assert said("add_detail", "see the patch, rendering stops", ["U1"]) == said("add_detail", "other words only", ["U1"]) == "I sees that rendering stops."
+    assert said("add_detail", "", ["U2"]) == "One constraint I forgot: Keyboard movement remains." and said("add_detail", "", []) == "I confirmed one more detail from the report."
+    assert said("speculative_hypothesis", "", ["U1"]) == "This may be my misunderstanding, but i sees that rendering stops." and said("confirm_final_active_intent", None, []) == "Yes, the final behavior should follow that corrected interpretation."
+    assert said("retract_previous_claim", "", []) == "I checked that part again; my earlier read may be wrong. Please use this corrected detail instead."
+    first = said("initial_imperfect_report", "too short", ["U1"], True)
+    assert first.startswith("I sees that rendering stops. I may be missing") and 120 <= len(first) <= 900
+    assert said("add_detail", "", ["U3"]) == "X" + "x" * 99 + "...."
+
+
+def test_evaluation_prompts(spark):
+    final = "objective string, must_satisfy array<string>, must_not_satisfy array<string>, non_goals array<string>, regression_expectations array<string>".replace(" string", ": string").replace(" array", ": array")
+    df = spark.createDataFrame([(("Do it", ["a", "a", "b"], ["no"], ["never"], ["keep"]), ([], None), [("T1", "hello"), ("T2", "bye")])], f"f struct<{final}>, o struct<must_satisfy: array<string>, must_not_satisfy: array<string>>, t array<struct<turn_id: string, user_utterance: string>>")
+    p = df.select(*(c.alias(n) for n, c in views.prompts(F.col("f"), F.col("o"), F.col("t"), F.lit("find"), "any").items())).first()
+    assert p.final_issue_prompt == "Please implement the following final active issue intent.\n\nObjective: Do it\n\nMust satisfy:\n- a\n- b\n\nPreserve:\n- keep"
+    assert p.concat_dialogue_prompt.endswith("rejected assumptions.\n\nT1: hello\nT2: bye\n\nInactive or rejected context:\n- no\n- never")
+    assert p.recap_any_prompt.endswith("left unresolved.\n\nActive objective:\nDo it\n\nMust satisfy:\n- a\n- b\n\nInactive or rejected:\n- no\n- never")
+    assert p.oracle_intent_prompt == "Judge whether a proposed patch satisfies the final active ANY intent.\n\nFinal active intent: Do it\n\nMust satisfy:\n- a\n- b\n\nMust not satisfy / must not keep active:\n- no"
+    assert p.multi_turn_any_script == '[{"turn_id":"T1","user_utterance":"hello"},{"turn_id":"T2","user_utterance":"bye"}]'
+
+
+def test_review_queue(spark):
+    from loomset.sources import sinks
+
+    state = spark.createDataFrame([("a", "needs_revision", "", "boom", {"s": "m"}), ("b", "accepted", None, None, {}), ("c", "step_failed", "why", None, {})], "instance_id string, status string, failure_reason string, last_error string, models_used map<string, string>")
+    q = sinks.review_queue(state)
+    assert tuple(q.columns) == sinks.QUEUE and len(q.columns) == 15
+    rows = {r.instance_id: r for r in q.collect()}
+    assert set(rows) == {"a", "c"} and rows["a"].failure_reason == "boom" and rows["c"].failure_reason == "why" and rows["a"].filter_reason == "" and rows["a"].models_used == '{"s":"m"}' and rows["c"].escalated_steps == "[]"
+
+
 def test_release_and_views(spark):
     docs = spark.createDataFrame([("a", ("p", "secret"), "o"), ("b", ("p", "secret"), "o")], "instance_id string, localization_checkpoint struct<prompt: string, gold: string>, oracle string")
     state = spark.createDataFrame([("a", "accepted"), ("b", "rejected")], "instance_id string, status string")
