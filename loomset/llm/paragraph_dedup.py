@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -62,14 +62,30 @@ class WordHashes(dict):
         return h
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... up to n at least, modulo 2^64."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(1 << max(10, n.bit_length()), base, np.uint64)
+        held[0] = 1
+        _POWERS[base] = held = np.cumprod(held)
+    return held
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def grams(hashes: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """A 64-bit hash of every n words in a row (polynomial in the words' hashes); of all words where there are fewer."""
-    powers = base ** np.arange(n, dtype=np.uint64)
-    if len(hashes) < n:
-        return (hashes * powers[: len(hashes)]).sum(keepdims=True, dtype=np.uint64) if len(hashes) else np.empty(0, np.uint64)
-    total = np.zeros(len(hashes) - n + 1, np.uint64)
-    for i in range(n):
-        total += hashes[i : len(hashes) - n + 1 + i] * powers[i]
+    """A 64-bit hash of every n words in a row (polynomial in the words' hashes); of all words where there are fewer.
+
+    By running sums: the base is odd, so the power that a run's sum begins with can be divided out.
+    """
+    m = len(hashes)
+    if m < n:
+        return (hashes * _powers(int(base), n)[:m]).sum(keepdims=True, dtype=np.uint64) if m else np.empty(0, np.uint64)
+    running = np.zeros(m + 1, np.uint64)
+    np.cumsum(hashes * _powers(int(base), m)[:m], out=running[1:])
+    total = (running[n:] - running[:-n]) * _powers(pow(int(base), -1, 1 << 64), m)[: m - n + 1]
     return total ^ (total >> np.uint64(31))
 
 
@@ -140,7 +156,7 @@ class Text:
         return np.unique(self.fives[first : after - SHINGLE + 1])
 
 
-UNITS = "doc_id long, kind string, start int, end int, words int, k1 long, k2 long, bands binary"
+UNITS = "doc_id long, kind string, start int, end int, words int, k1 long, k2 long, bands binary, fresh boolean"
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -148,9 +164,10 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The lines of at least `least` words with their bands (null without a shingle), and the anchors, of every whole text."""
+    """The lines of at least `least` words with their bands (null without a shingle), and the anchors, of every whole text. fresh: not an anchor that
+    stood before in the same text."""
     common.tune(docs.sparkSession)
-    kinds = (pa.int64(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.binary(), pa.bool_())
     schema = pa.schema(list(zip([x.split()[0] for x in UNITS.split(", ")], kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,19 +179,20 @@ def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 for a, b in t.lines + t.short:
                     if b - a >= least:
                         kind, banded = "paragraph" if b - a >= MIN_WORDS else "line", bands(t.shingles(a, b)) if b - a >= SHINGLE else None
-                        rows.append((doc_id, kind, int(t.start[a]), int(t.end[b - 1]), b - a, *line_key(t.words[a:b]), banded))
+                        rows.append((doc_id, kind, int(t.start[a]), int(t.end[b - 1]), b - a, *line_key(t.words[a:b]), banded, True))
                 if len(t.hashes) >= MIN_WORDS:
                     gram = grams(t.hashes, MIN_WORDS)
                     places = anchors(gram)
-                    places = places[np.sort(np.unique(gram[places], return_index=True)[1])]  # a document's repeats of its own count once
+                    fresh = np.zeros(len(places), bool)
+                    fresh[np.unique(gram[places], return_index=True)[1]] = True
                     other = grams(t.hashes, MIN_WORDS, _OTHER)[places]
-                    parts.append((np.full(len(places), at), t.start[places], t.end[places + MIN_WORDS - 1], gram[places], other))
+                    parts.append((np.full(len(places), at), t.start[places], t.end[places + MIN_WORDS - 1], gram[places], other, fresh))
             yield from common.batches(rows, schema)
             if parts:
-                whose, start, end, k1, k2 = (np.concatenate(x) for x in zip(*parts))
+                whose, start, end, k1, k2, fresh = (np.concatenate(x) for x in zip(*parts))
                 n = len(whose)
                 columns = [batch.column(0).take(pa.array(whose)), pa.array(["anchor"]).take(pa.array(np.zeros(n, np.int32))), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(n, MIN_WORDS, np.int32))]
-                columns += [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.binary())]
+                columns += [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.binary()), pa.array(fresh)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return _plain(docs).mapInArrow(run, UNITS)
@@ -282,7 +300,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORD
     doc_id, kind, start, end (code points, end exclusive), words, component_id, first_doc_id, places, keep. Paragraphs are lines of at least MIN_WORDS
     words; of kind line are those of `least` up to that. Both are linked where their sets of 5-word shingles (lower case) have a Jaccard similarity of the threshold or more: equal texts
     are one paragraph, the others meet by MinHash bands and are verified exactly, and components are removed but for the place of the smallest
-    (doc_id, start). Anchors are runs of MIN_WORDS equal words chosen by their content, so that any 50 words in a row that
+    (doc_id, start). Anchors are runs of MIN_WORDS equal words that stand in several rows' texts, at all their places, chosen by their content, so that any 50 words in a row that
     repeat, wherever in a paragraph, have one in common. Lines without a 5-word shingle meet equal ones only. Null and empty texts and lines under `least` words give none; repeated rows are two
     places, kept or not together since they share id and start; a null id counts as the least, and comes out as null; an empty table gives none.
     """
@@ -295,8 +313,8 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORD
     rooted = classes.join(roots, classes.k1 == roots.node, "left").withColumn("root", F.coalesce("root", "k1"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("places")).where("places > 1")
     named = rooted.select("k1", "k2", "root").join(groups, "root").select("k1", "k2", F.col("root").alias("component_id"), "first", "places")
-    runs = found.where("anchored").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("places"))
-    runs = runs.where("first.doc_id <> last or (places > 1)").select("k1", "k2", F.col("k1").alias("component_id"), "first", "places")
+    runs = found.where("anchored").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count_if("fresh").alias("texts"), F.count("*").alias("places"))
+    runs = runs.where("texts > 1").select("k1", "k2", F.col("k1").alias("component_id"), "first", "places")
     told = found.drop("bands").join(named.withColumn("anchored", F.lit(False)).unionByName(runs.withColumn("anchored", F.lit(True))), ["k1", "k2", "anchored"])
     back = lambda c: F.nullif(c, F.lit(NO_ID))
     return told.select(
@@ -305,10 +323,71 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORD
     )
 
 
-def removals(found: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end: what repeats() doesn't keep of at least `least` words, overlapping and adjoining places as one."""
+CONTEXT = "component_id long, doc_id long, start int, end int, keep boolean, left_words array<long>, right_words array<long>, left_starts array<int>, right_ends array<int>"
+
+
+def _contexts(anchors: DataFrame, docs: DataFrame) -> DataFrame:
+    """The anchors' places with the hashes of up to MIN_WORDS words on each side, nearest first, and where those begin or end. A place whose text isn't
+    the anchor's (another row with the same id) gives none."""
+    common.tune(docs.sparkSession)
+    spots = anchors.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).agg(F.collect_set(F.struct("component_id", "start", "keep")).alias("spots"))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2)
+    schema = pa.schema(list(zip([x.split()[0] for x in CONTEXT.split(", ")], kinds)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_ = WordHashes()
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for doc_id, text, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                t = Text(text or "", cache_)
+                signed = t.hashes.view(np.int64)
+                gram = grams(t.hashes, MIN_WORDS).view(np.int64) if len(signed) >= MIN_WORDS else signed[:0]
+                for spot in held:
+                    a = int(np.searchsorted(t.start, spot["start"]))
+                    b = a + MIN_WORDS
+                    if a < len(gram) and t.start[a] == spot["start"] and gram[a] == spot["component_id"]:
+                        low = max(0, a - MIN_WORDS)
+                        left, right = signed[low:a][::-1].tolist(), signed[b : b + MIN_WORDS].tolist()
+                        yield spot["component_id"], doc_id, spot["start"], int(t.end[b - 1]), spot["keep"], left, right, t.start[low:a][::-1].tolist(), t.end[b : b + MIN_WORDS].tolist()
+
+        for batch in batches:
+            yield from common.batches(rows(batch), schema, 256)
+
+    return _plain(docs).join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(run, CONTEXT)
+
+
+def extended(anchors: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, start, end: the places of anchors that aren't kept, grown on both sides as far as their words equal those beside the kept place.
+
+    Up to MIN_WORDS words a side: a longer run has further anchors there. Two equi-joins, texts by document and places by anchor; a frequent
+    anchor's places meet its one kept place, so its rows can be split.
+    """
+    around = common.kept(_contexts(anchors, docs))
+    kept = around.where("keep").groupBy("component_id").agg(F.min(F.struct("doc_id", "start", "left_words", "right_words")).alias("k"))
+    met = around.where("not keep").join(kept, "component_id")
+
+    def reach(own: str, other: str) -> Column:
+        """How many words from the nearest on are equal: the place of the first pair that isn't."""
+        equal = F.zip_with(own, other, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        first = F.array_position(equal, False)
+        return F.when(first > 0, first - 1).otherwise(F.size(equal)).cast("int")
+
+    left, right = reach("left_words", "k.left_words"), reach("right_words", "k.right_words")
+    grown = lambda n, at, own: F.when(n > 0, F.element_at(at, F.greatest(n, F.lit(1)))).otherwise(F.col(own))
+    back = F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")
+    return met.select("doc_id", "start", "end", left.alias("l"), right.alias("r"), "left_starts", "right_ends").select(back, grown(F.col("l"), "left_starts", "start").alias("start"), grown(F.col("r"), "right_ends", "end").alias("end"))
+
+
+def removals(found: DataFrame, least: int = MIN_WORDS, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, end: what repeats() doesn't keep of at least `least` words, overlapping and adjoining places as one.
+
+    With `docs`, anchors grow to the whole run that they share with the kept place, so that no words of a removed run stay behind at its ends.
+    """
     w = Window.partitionBy("doc_id").orderBy("start", "end")
-    gone = found.where(~F.col("keep") & (F.col("words") >= least)).select("doc_id", "start", "end").distinct()
+    gone = found.where(~F.col("keep") & (F.col("words") >= least)).select("doc_id", "start", "end")
+    if docs is not None:
+        gone = gone.unionByName(extended(found.where("kind = 'anchor'"), docs))
+    gone = gone.distinct()
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = gone.withColumn("_new", (F.coalesce(reach, F.lit(-1)) < F.col("start") - 1).cast("int"))
     return marked.withColumn("_island", F.sum("_new").over(w)).groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")

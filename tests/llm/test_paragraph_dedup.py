@@ -65,10 +65,11 @@ def test_paragraphs_against_all_pairs(spark):
                 lines[r.doc_id, at + len(line) - len(line.lstrip())] = line
             at += len(line) + 1
     want = slow_groups(lines)
-    got = {}
+    got, kept = {}, {}
     for r in P.repeats(docs).where("kind = 'paragraph'").collect():
         got.setdefault(r.component_id, set()).add((r.doc_id, r.start))
-        assert r.keep == ((r.doc_id, r.start) == min((x.doc_id, x.start) for x in [r])) or r.first_doc_id <= r.doc_id
+        kept.setdefault(r.component_id, []).append((r.doc_id, r.start)) if r.keep else None
+    assert all(kept[c] == [min(g)] for c, g in got.items())
     found = sum(len(g) for g in got.values())
     assert all(any(g <= w for w in want) for g in got.values())
     assert found >= 0.98 * sum(map(len, want))
@@ -91,6 +92,28 @@ def test_runs_inside_paragraphs(spark, docs_of):
     assert all(text[r.doc_id][r.start : r.end] in passage for r in cuts) and {r.doc_id for r in cuts} >= set(range(10, 30))
 
 
+def test_removals_cover_whole_runs(spark, docs_of):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    pairs, runs = [], {}
+    for i in range(200):
+        run = prose(rng.randrange(50, 130))
+        for k in range(2):
+            pairs.append((2 * i + k, f"{prose(rng.randrange(0, 90))} {run} {prose(rng.randrange(0, 90))}".strip()))
+        runs[2 * i + 1] = run
+    docs = docs_of([*pairs, (1000, "x y z " * 3000), (None, runs[1]), (1001, f"{runs[3]} {prose(3)} {runs[3]}")])
+    cuts = {}
+    for r in P.removals(P.repeats(docs), docs=docs).collect():
+        cuts.setdefault(r.doc_id, []).append((r.start, r.end))
+    text = dict(pairs)
+    for i, run in runs.items():
+        at = text[i].index(run)
+        assert any(s <= at and at + len(run) <= e for s, e in cuts[i]) or i == 1, (i, at, len(run), cuts[i])
+        assert sum(e - s for s, e in cuts[i]) <= len(run) + 2 or i == 1  # and nothing else
+    assert 1000 not in cuts and len(cuts[1001]) == 2  # what repeats in one text alone stays; both places of another's run go
+
+
 def test_families_that_only_their_original_joins(spark, docs_of):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("aeinorst") for _ in range(7))
