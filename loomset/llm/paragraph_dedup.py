@@ -25,6 +25,7 @@ WINDOW = 26
 CENTRES = 2
 _FILTER_BITS = 24  # of the filter for paragraphs that collide: 2 MB
 _CACHE = 300_000
+_AT_ONCE = 2048  # shingles whose MinHash values are in memory together
 
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -75,6 +76,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[int, np.ndarray] = {}
 
 
+@cache
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
 def grams(hashes: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A 64-bit hash of every n words in a row (polynomial in the words' hashes); of all words where there are fewer.
 
@@ -85,21 +91,29 @@ def grams(hashes: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
         return (hashes * _powers(int(base), n)[:m]).sum(keepdims=True, dtype=np.uint64) if m else np.empty(0, np.uint64)
     running = np.zeros(m + 1, np.uint64)
     np.cumsum(hashes * _powers(int(base), m)[:m], out=running[1:])
-    total = (running[n:] - running[:-n]) * _powers(pow(int(base), -1, 1 << 64), m)[: m - n + 1]
+    total = (running[n:] - running[:-n]) * _powers(_inverse(int(base)), m)[: m - n + 1]
     return total ^ (total >> np.uint64(31))
 
 
-def bands(shingles: np.ndarray) -> bytes:
-    """The MinHash band values of a set of shingles, 8 bytes each."""
-    a, b = _permutations()
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        np.minimum(low, (shingles[at : at + 4096, None] * a + b).min(0), out=low)
-    low = low.reshape(BANDS, ROWS)
-    mixed = np.zeros(BANDS, np.uint64)
+def bands(shingles: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """The MinHash band values, 8 bytes each, of lines whose shingles stand one line after the other, `sizes` of each (none of them 0)."""
+    a, b = (x[:, None] for x in _permutations())
+    first, out = np.concatenate([[0], np.cumsum(sizes)]), np.empty((BANDS * ROWS, len(sizes)), np.uint64)
+    done = 0
+    while done < len(sizes):
+        until = max(done + 1, int(np.searchsorted(first, first[done] + _AT_ONCE, "right")) - 1)
+        if until == done + 1:  # maybe a very long line: in parts
+            parts = (shingles[at : min(at + _AT_ONCE, first[until])] for at in range(first[done], first[until], _AT_ONCE))
+            out[:, done] = np.minimum.reduce([(x * a + b).min(1) for x in parts])
+        else:
+            np.minimum.reduceat(shingles[first[done] : first[until]] * a + b, first[done:until] - first[done], axis=1, out=out[:, done:until])
+        done = until
+    low = out.reshape(BANDS, ROWS, len(sizes))
+    mixed = np.zeros((BANDS, len(sizes)), np.uint64)
     for i in range(ROWS):
         mixed = (mixed ^ low[:, i]) * _BASE + np.uint64(i)
-    return (mixed ^ (mixed >> np.uint64(32))).astype("<u8").tobytes()
+    raw = np.ascontiguousarray((mixed ^ (mixed >> np.uint64(32))).T, "<u8").tobytes()
+    return [raw[i : i + 8 * BANDS] for i in range(0, len(raw), 8 * BANDS)]
 
 
 def _rolling(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -152,8 +166,11 @@ class Text:
             self.start, self.end = points[self.start], points[self.end]
         self.fives = grams(self.hashes, SHINGLE) if self.lines else None
 
-    def shingles(self, first: int, after: int) -> np.ndarray:
-        return np.unique(self.fives[first : after - SHINGLE + 1])
+    def bands(self) -> list[bytes]:
+        """Of the lines that have a shingle."""
+        if not self.lines:
+            return []
+        return bands(np.concatenate([self.fives[a : b - SHINGLE + 1] for a, b in self.lines]), [b - a - SHINGLE + 1 for a, b in self.lines])
 
 
 UNITS = "doc_id long, kind string, start int, end int, words int, k1 long, k2 long, bands binary, fresh boolean"
@@ -176,9 +193,9 @@ def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             rows, parts = [], []
             for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), common.texts_of(batch))):
                 t = Text(text, cache_)
-                for a, b in t.lines + t.short:
+                for (a, b), banded in [*zip(t.lines, t.bands()), *((x, None) for x in t.short)]:
                     if b - a >= least:
-                        kind, banded = "paragraph" if b - a >= MIN_WORDS else "line", bands(t.shingles(a, b)) if b - a >= SHINGLE else None
+                        kind = "paragraph" if b - a >= MIN_WORDS else "line"
                         rows.append((doc_id, kind, int(t.start[a]), int(t.end[b - 1]), b - a, *line_key(t.words[a:b]), banded, True))
                 if len(t.hashes) >= MIN_WORDS:
                     gram = grams(t.hashes, MIN_WORDS)

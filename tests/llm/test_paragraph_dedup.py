@@ -54,6 +54,27 @@ def test_hashes_are_those_of_plain_loops():
     assert t.words == "É a b c".encode().lower().split() + [b"%d" % i for i in range(30)] + [b"x"] and t.lines == [(4, 34)] and (t.start[1], t.end[1]) == (2, 3)
 
 
+def test_bands_are_those_of_plain_loops(monkeypatch):
+    rng = np.random.default_rng(1)
+    sizes = [3, 1, 40, 2, 90, 1, 1]
+    shingles = rng.integers(0, 2**63, sum(sizes), dtype=np.uint64)
+    a, b = P._permutations()
+    want, at = [], 0
+    for n in sizes:
+        low = [min((int(x) * int(p) + int(q)) % 2**64 for x in shingles[at : at + n]) for p, q in zip(a, b)]
+        at += n
+        line = b""
+        for k in range(P.BANDS):
+            mixed = 0
+            for i in range(P.ROWS):
+                mixed = ((mixed ^ low[k * P.ROWS + i]) * int(P._BASE) + i) % 2**64
+            line += (mixed ^ (mixed >> 32)).to_bytes(8, "little")
+        want.append(line)
+    for most in (4096, 50, 7, 1):
+        monkeypatch.setattr(P, "_AT_ONCE", most)
+        assert P.bands(shingles, sizes) == want
+
+
 def test_paragraphs_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("length(text) < 6000")
     rows = docs.collect()
