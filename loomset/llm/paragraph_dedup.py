@@ -21,10 +21,11 @@ SHINGLE = 5
 MIN_WORDS = 25
 #: A run of at least MIN_WORDS + WINDOW - 1 = 50 equal words has an anchor in common wherever it stands.
 WINDOW = 26
-#: Further centres of a bucket whose members fall into several components, in the first round; each round doubles them.
-CENTRES = 2
+#: Further centres of a bucket whose members fall into several components, in the first round; each round takes four times as many.
+CENTRES = 8
 _FILTER_BITS = 24  # of the filter for paragraphs that collide: 2 MB
 _CACHE = 300_000
+_COUNTERS = 1 << 20  # of shingles, 8 MB
 _AT_ONCE = 2048  # shingles whose MinHash values are in memory together
 
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -261,44 +262,132 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+_WORDS = [f"b{i}" for i in range(8)]  # of a bitmap of 512 bits
+SKETCH = f"struct<n: bigint, {', '.join(f'{w}: bigint' for w in _WORDS)}>"
+
+
+def _sketches(held: DataFrame) -> DataFrame:
+    """(p, sketch): the number of a paragraph's shingles, and a bitmap in which each sets one bit."""
+    schema = pa.schema([("p", pa.int64()), ("sketch", pa.struct([(c, pa.int64()) for c in ("n", *_WORDS)]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            bits = np.zeros((len(sets), 64 * len(_WORDS)), np.uint8)
+            for row, x in zip(bits, sets):
+                row[(x >> np.uint64(40)) % np.uint64(len(row))] = 1
+            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            columns = [pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_WORDS)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, fields=list(schema.field(1).type))], schema=schema)
+
+    return held.select("p", "shingles").mapInArrow(run, f"p long, sketch {SKETCH}")
+
+
+def _may_reach(x: Column, y: Column, threshold: float) -> Column:
+    """False only where the sketches prove that two sets are below the threshold: bits in which they differ are fewer than shingles in which the sets do
+    (a bitmap filter, Sandes et al. 2020)."""
+    differ = sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in _WORDS[1:]), F.bit_count(x[_WORDS[0]].bitwiseXOR(y[_WORDS[0]])))
+    return differ <= (x["n"] + y["n"]) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+
+
+def _prefixes(held: DataFrame, threshold: float) -> DataFrame:
+    """(p, key): for each paragraph of `held` (p, shingles) the shingles of which two sets at the threshold must have one in common.
+
+    Prefix filtering (Chaudhuri et al. 2006): with the shingles in one order for all, the first n - ceil(t n) + 1 of n. Rare ones come first, by
+    counters of a fixed number, so what unlike paragraphs have in common seldom becomes a key.
+    """
+    slot = lambda x: x % np.uint64(_COUNTERS)
+    counted, keyed = pa.schema([("slot", pa.int64()), ("n", pa.int64())]), pa.schema([("p", pa.int64()), ("key", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(n, slot(np.frombuffer(x, np.uint64)), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], schema=counted)
+
+    told = held.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    order = np.zeros(_COUNTERS, np.int64)
+    order[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, keys = [], []
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(x, np.uint64)
+                n = len(x) - math.ceil(threshold * len(x) - 1e-9) + 1
+                keys.append(x[np.lexsort((x, order[slot(x)]))[:n]].view(np.int64))
+                who.append(np.full(n, p))
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(keys))], schema=keyed)
+
+    return held.select("p", "shingles").mapInArrow(first, "p long, key long")
+
+
+def _starred(members: DataFrame) -> DataFrame:
+    """(p, key, degree, centres) for members (p, key) of buckets with two or more: the member that collides most over all its buckets, and two by hash."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    multi = common.kept(members.join(sizes, "key"))
+    met = multi.join(multi.groupBy("p").agg(F.sum("n").alias("degree")), "p").select("p", "key", "degree")
+    by_hash = lambda n: F.min_by("p", F.xxhash64("p", "key", F.lit(n)))
+    centres = met.groupBy("key").agg(F.max_by("p", F.struct("degree", "p")).alias("c1"), by_hash(2).alias("c2"), by_hash(3).alias("c3"))
+    return common.kept(met.join(centres, "key").select("p", "key", "degree", F.array_distinct(F.array("c1", "c2", "c3")).alias("centres")))
+
+
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    return rows.where(F.col("p") != F.col(other)).select(F.least("p", other).alias("a"), F.greatest("p", other).alias("b")).distinct()
+
+
 def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): keys of different paragraphs at the threshold or more, enough to connect whatever all pairs of each bucket connect.
 
-    A bucket's members are first compared with three of them and not with each other. One is the member that collides most over all its
-    buckets: copies that were each changed on their own are near their original and not each other, and it is the original that they all
-    collide with. The others are by hashes of member and bucket. Then buckets get further centres, CENTRES at first and twice as many
-    each round, which are compared with the members of other components, until no two members of different components are left of which
-    neither was a centre. So no pair that could join components goes unmet, and members that are one component already cost nothing more.
+    A bucket's members are compared with three of them and not with each other. One is the member that collides most over all its buckets:
+    copies that were each changed on their own are near their original and not each other, and it is the original that they all collide with.
+    The others are by hashes of member and bucket. Where members then still fall into several components, those that were no centre go on to
+    buckets by the shingles of which similar ones must share one (see _prefixes), in which unlike members part. These are compared in
+    the same way, but for pairs whose sketches prove them unlike; then with further centres, CENTRES at first and four times as many each round, until no bucket holds two members of different
+    components of which neither was a centre. So no pair that could join components goes unmet.
     """
     keyed = paragraphs.where("bands is not null").select("k1", "bands").groupBy("k1").agg(F.any_value("bands").alias("bands"))
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     members, path = common.write_shared(keyed.select(F.col("k1").alias("p"), "bands", band).select("p", F.xxhash64("band", F.expr("substring(bands, 8 * band + 1, 8)")).alias("key")))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    multi = common.kept(members.join(sizes, "key"))
+    met = _starred(members)
     common.drop_shared(docs.sparkSession, path)
-    degrees = multi.groupBy("p").agg(F.sum("n").alias("degree"))
-    met = multi.join(degrees, "p").select("p", "key", "degree")
-    by_hash = lambda n: F.min_by("p", F.xxhash64("p", "key", F.lit(n)))
-    centres = met.groupBy("key").agg(F.max_by("p", F.struct("degree", "p")).alias("c1"), by_hash(2).alias("c2"), by_hash(3).alias("c3"))
-    met = common.kept(met.join(centres, "key").select("p", "key", "degree", F.array_distinct(F.array("c1", "c2", "c3")).alias("centres")))
-    ordered = lambda p, c: (F.least(p, c).alias("a"), F.greatest(p, c).alias("b"))
-    pairs = met.select("p", F.explode("centres").alias("c")).where("p <> c")
-    pairs = common.kept(pairs.select(*ordered("p", "c")).distinct())
+    with_centres = lambda m: m.select("p", F.explode("centres").alias("c"))
+    pairs = common.kept(_pairs(with_centres(met), "c"))
     sets = common.kept(_shingle_sets(docs, _colliding(pairs)))
     links = common.kept(_verified(pairs, sets, threshold))
     roots = common.components(links)
-    rooted = met.join(roots, met.p == roots.node, "left")
-    rooted = rooted.select("p", "key", "degree", F.coalesce("root", "p").alias("root"), F.array_contains("centres", F.col("p")).alias("centre"))
-    n = CENTRES
-    while True:
+
+    def rooted_of(m: DataFrame, roots: DataFrame) -> DataFrame:
+        out = m.join(roots, m.p == roots.node, "left")
+        return out.select("p", "key", "degree", F.coalesce("root", "p").alias("root"), F.array_contains("centres", F.col("p")).alias("centre"))
+
+    def open_buckets(rooted: DataFrame) -> DataFrame:
         waiting = F.when(~F.col("centre"), F.col("root"))
-        open_ = rooted.groupBy("key").agg(F.min(waiting).alias("r1"), F.max(waiting).alias("r2"), F.max_by("root", F.struct("degree", "p")).alias("main")).where("r1 <> r2").select("key", "main")
-        split = common.kept(rooted.join(open_, "key"))
+        return rooted.groupBy("key").agg(F.min(waiting).alias("r1"), F.max(waiting).alias("r2"), F.max_by("root", F.struct("degree", "p")).alias("main")).where("r1 <> r2").select("key", "main")
+
+    rooted = rooted_of(met, roots)
+    waiting = common.kept(rooted.join(open_buckets(rooted), "key").where("not centre").select("p", "root").distinct())
+    if waiting.isEmpty():
+        return links
+    held = common.kept(sets.join(waiting.select("p").distinct(), "p"))
+    sketches = common.kept(_sketches(held))
+    met = _starred(_prefixes(held, threshold))
+    other = sketches.select(F.col("p").alias("c"), F.col("sketch").alias("c_sketch"))
+    more = _pairs(with_centres(met), "c").select(F.col("a").alias("p"), F.col("b").alias("c")).join(pairs, [F.col("p") == pairs.a, F.col("c") == pairs.b], "left_anti")
+    more = common.kept(_pairs(more.join(sketches, "p").join(other, "c").where(_may_reach(F.col("sketch"), F.col("c_sketch"), threshold)), "c"))
+    found = common.kept(_verified(more, sets, threshold))
+    pairs, links = pairs.unionByName(more), links.unionByName(found)
+    rooted, n = common.kept(rooted_of(met, common.components(links)).join(sketches, "p")), CENTRES
+    while True:
+        split = common.kept(rooted.join(open_buckets(rooted), "key"))
         if split.isEmpty():
             return links
         order = Window.partitionBy("key").orderBy(F.col("root") == F.col("main"), F.desc("degree"), F.xxhash64("p", "key"), "p")
-        chosen = common.kept(split.where("not centre").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("key", F.col("p").alias("c"), F.col("root").alias("c_root")))
-        more = split.join(chosen, "key").where("root <> c_root").select(*ordered("p", "c")).distinct()
+        chosen = common.kept(split.where("not centre").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("key", F.col("p").alias("c"), F.col("root").alias("c_root"), F.col("sketch").alias("c_sketch")))
+        more = _pairs(split.join(chosen, "key").where((F.col("root") != F.col("c_root")) & _may_reach(F.col("sketch"), F.col("c_sketch"), threshold)).select("p", "c"), "c")
         more = common.kept(more.join(pairs, ["a", "b"], "left_anti"))
         found = common.kept(_verified(more, sets, threshold))
         pairs, links = pairs.unionByName(more), links.unionByName(found)
@@ -307,8 +396,8 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
         merged = common.components(found.join(ends[0], "a").join(ends[1], "b"), "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
         asked = chosen.select("key", F.col("c").alias("p"), F.lit(True).alias("asked"))
         rooted = split.drop("main").join(merged, "root", "left").join(asked, ["key", "p"], "left")
-        rooted = rooted.select("p", "key", "degree", F.coalesce("to", "root").alias("root"), (F.col("centre") | F.coalesce("asked", F.lit(False))).alias("centre"))
-        n *= 2
+        rooted = rooted.select("p", "key", "degree", "sketch", F.coalesce("to", "root").alias("root"), (F.col("centre") | F.coalesce("asked", F.lit(False))).alias("centre"))
+        n *= 4
 
 
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORDS) -> DataFrame:

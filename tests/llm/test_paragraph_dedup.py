@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomset.llm import paragraph_dedup as P
 from tests.conftest import SF_SMALL
@@ -75,6 +76,43 @@ def test_bands_are_those_of_plain_loops(monkeypatch):
         assert P.bands(shingles, sizes) == want
 
 
+def test_filters_lose_no_pair(spark):
+    rng = random.Random(2)
+    rows, sets = [], []
+    for i in range(150):
+        base = sets[rng.randrange(len(sets))] if sets and rng.random() < 0.8 else {rng.randrange(1, 2**62) for _ in range(rng.randrange(1, 60))}
+        some = {x for x in base if rng.random() > 0.12} | {rng.randrange(1, 2**62) for _ in range(rng.randrange(0, 5))}
+        sets.append(some or base)
+        rows.append((i, np.array(sorted(sets[-1]), np.uint64).tobytes()))
+    held = spark.createDataFrame(rows, "p long, shingles binary")
+    keys = {}
+    for r in P._prefixes(held, 0.8).collect():
+        keys.setdefault(r.p, set()).add(r.key)
+    sketches = P._sketches(held)
+    x, y = sketches.select("p", F.col("sketch").alias("x")), sketches.select(F.col("p").alias("q"), F.col("sketch").alias("y"))
+    may = {(r.p, r.q) for r in x.join(y, F.col("p") < F.col("q")).where(P._may_reach(F.col("x"), F.col("y"), 0.8)).collect()}
+    near = [(i, j) for j in range(150) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 20 and all(keys[i] & keys[j] and (i, j) in may for i, j in near) and len(may) < 2500
+
+
+def test_near_copies_without_their_original(spark, docs_of):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(7))
+    base, pairs = [word() for _ in range(60)], []
+    for k in range(120):  # any two about 0.7 alike, but for twenty that are close to one other
+        copy = list(base)
+        for at in ((5 + k % 40, 50) if k < 100 else (5 + k % 40, 50)):
+            copy[at] = f"{word()}{k % 100}"
+        pairs.append((k, " ".join(copy)))
+    twins = [(200 + k, pairs[k][1] + f" {word()}") for k in range(20)]
+    rows = P.repeats(docs_of(pairs + twins)).where("kind = 'paragraph'").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.component_id, set()).add(r.doc_id)
+    want = slow_groups({(i, 0): t for i, t in pairs + twins})
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, _ in g) for g in want)
+
+
 def test_paragraphs_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("length(text) < 6000")
     rows = docs.collect()
