@@ -125,15 +125,26 @@ def json_kind(c: Column) -> Column:
 
 
 def key_paths(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """(key, path) of every object key in a column of JSON, as $.a.b[0].c: a recursive walk over variants, all in SQL."""
-    spark = df.sparkSession
-    view = f"_walk_{id(df)}"
-    df.select(F.col(key).alias("k"), F.try_parse_json(F.col(raw)).alias("v")).where("v is not null").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(k, path, is_key, v) AS (
-            SELECT k, '$', false, v FROM {view}
-            UNION ALL
-            SELECT w.k, concat(w.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END), e.key IS NOT NULL, e.value
-            FROM walk w, LATERAL variant_explode_outer(w.v) e WHERE e.pos IS NOT NULL
-        )
-        SELECT k AS `{key}`, path FROM walk WHERE is_key""")
+    """(key, path) of every object key in a column of JSON, as $.a.b[0].c. Depth has no bound, which built-ins can't say without one on rows: in Arrow batches.
+
+    Valid JSON only: rows that don't parse, and scalars, give none.
+    """
+    parsed = F.when(F.try_parse_json(F.col(raw)).isNotNull(), F.col(raw))
+    return df.select(F.col(key), F.explode(_paths(parsed)).alias("path"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _paths(raw: pd.Series) -> pd.Series:
+    def walk(text: str | None) -> list[str]:
+        out: list[str] = []
+        todo = [("$", json.loads(text))] if text is not None else []
+        while todo:
+            at, value = todo.pop()
+            for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+                path = f"{at}.{k}" if isinstance(value, dict) else f"{at}[{k}]"
+                if isinstance(value, dict):
+                    out.append(path)
+                todo.append((path, v))
+        return out
+
+    return raw.map(walk)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomset import patterns as P
 from loomset.operators import nested
 from loomset.plans import views
 from loomset.plans.delta import state_delta
@@ -14,7 +15,7 @@ OPERATIONS = ("initial_imperfect_report", "speculative_hypothesis", "add_detail"
 TYPES = ("symptom", "expected_behavior", "negative_constraint", "obsolete_candidate", "regression_expectation")
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _OP = f"({_LIST(OPERATIONS)})[(turn + 1)::int]"
-_CLEAN = "trim(substr(text, 1, 24))"
+_CLEAN = "trim(text)"
 
 
 def _pick(names, i):
@@ -25,7 +26,7 @@ def _turns(t):
     """Conversations as arrays of typed turns, in order. A conversation has a few turns, so gathering them is bounded."""
     c, empty = t("conversations"), F.array().cast("array<string>")
     k = F.col("turn")
-    said = F.trim(F.substring("text", 1, 24))
+    said = F.trim("text")
     turn = F.struct(
         k.alias("n"), F.concat(F.lit("T"), k + 1).alias("turn_id"), _pick(OPERATIONS, k % 8).alias("operation"), F.col("text").alias("user_utterance"), F.array(F.concat(F.lit("U"), k + 1)).alias("introduced_units"),
         F.when(k % 8 == 1, "speculative").otherwise("active").alias("claim_status"), F.when((k == 3) & (F.col("conv_id") % 2 == 0), F.array(F.lit("T2"))).otherwise(empty).alias("revises_turns"), empty.alias("revises_units"),
@@ -98,14 +99,26 @@ def q44(t):
     return c.select("conv_id", F.md5(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("prompt_md5"), "turns")
 
 
-@query("q55_quality_gate")
+_LEAK = f"(regexp_matches(text, '{P.BENCHMARK_METADATA}', 'i') OR regexp_matches(text, '(?im){P.IMPLEMENTATION_HINT}'))"
+
+
+@query("q55_quality_gate", f"""WITH c AS (SELECT conv_id, turn, {_OP} AS op, turn = 3 AND conv_id % 2 = 0 AS names2, turn = 6 AND conv_id % 3 = 0 AND {_CLEAN} <> '' AS loaded, {_LEAK} AS leaks FROM conversations),
+w AS (SELECT conv_id, turn FROM c WHERE op IN ('speculative_hypothesis', 'mistaken_clarification', 'incorrect_reproduction_detail')),
+u AS (SELECT w.conv_id, count(*) AS m FROM w WHERE NOT EXISTS (SELECT 1 FROM c r WHERE r.conv_id = w.conv_id AND r.op IN {_RES} AND r.turn > 0 AND ((r.names2 AND w.turn = 1) OR (r.loaded AND r.turn > w.turn))) GROUP BY w.conv_id),
+g AS (SELECT conv_id, count(*) AS n, bool_or(op <> 'initial_imperfect_report' AND op <> 'add_detail') AS noisy, bool_or(op IN ('correct_previous_claim', 'replace_previous_claim', 'narrow_scope')) AS revises, bool_and(conv_id % 4 <> turn % 4) AS shown, bool_or(leaks) AS leaks FROM c GROUP BY conv_id)
+SELECT g.conv_id, CASE WHEN leaks THEN 'rejected' ELSE 'manual_review_required' END AS status, n BETWEEN 3 AND 6 AS turn_count, noisy, revises, coalesce(u.m, 0) = 0 AS resolved, shown AS units_valid, n >= 3 AS revision_units_valid, false AS modes_complete, false AS localization_kept, coalesce(u.m, 0)::bigint AS unresolved FROM g LEFT JOIN u USING (conv_id)""")
 def q55(t):
-    """The quality gate over conversations as instances: failed checks by name. In tests against hand-worked instances; 30 nested checks aren't put in SQL."""
-    texts, empty = F.array().cast("array<string>"), F.array().cast("array<string>")
+    """The quality gate over conversations as instances: the status, and checks that follow from the turns."""
+    empty = F.array().cast("array<string>")
     d = _turns(t).select(
-        F.col("conv_id").cast("string").alias("instance_id"), F.lit(True).alias("suitable"), "units", nested.ids(F.col("units")).alias("compact_unit_ids"), F.struct(F.lit(True).alias("has_revision_fact"), F.array(F.lit("U3")).alias("revision_unit_ids")).alias("revision"),
+        "conv_id", F.lit(True).alias("suitable"), "units", nested.ids(F.col("units")).alias("compact_unit_ids"), F.struct(F.lit(True).alias("has_revision_fact"), F.array(F.lit("U3")).alias("revision_unit_ids")).alias("revision"),
         F.struct(F.lit("objective").alias("objective"), F.array(F.lit("keep it")).alias("must_satisfy")).alias("intent"), F.create_map(F.lit("must_satisfy"), F.array(F.lit("keep it"))).alias("oracle"), "turns",
-        F.create_map(F.lit("final_intent_prompt"), F.lit("x")).alias("modes"), texts.alias("script"), F.lit("find it").alias("prompt"), empty.alias("gold_files"), empty.alias("metrics"), F.array(F.lit("$.a")).alias("agent_paths"), F.lit("").alias("agent_text"), F.lit(False).alias("is_template"),
+        F.create_map(F.lit("oracle_intent_prompt"), F.lit("x")).alias("modes"), empty.alias("script"), F.lit("find it").alias("prompt"), F.lit("{}").alias("output_schema"), empty.alias("gold_files"), empty.alias("gold_functions"), empty.alias("metrics"),
+        F.array(F.lit("$.a")).alias("agent_paths"), F.lit("").alias("agent_text"), F.lit(False).alias("is_template"), F.lit(False).alias("template_supported"),
     )
-    failed = gate(d).select("status", F.explode("hard_failures").alias("failure"))
-    return failed.groupBy("status", "failure").agg(F.count("*").alias("n"))
+    names = {
+        "turn_count": "dialogue_turn_count_valid", "noisy": "noisy_refinement_present", "revises": "has_revision_operation", "resolved": "unresolved_wrong_claims_absent", "units_valid": "introduced_units_valid",
+        "revision_units_valid": "revision_unit_ids_valid", "modes_complete": "evaluation_modes_complete", "localization_kept": "keep_localization_metrics",
+    }
+    found = gate(d)
+    return found.select("conv_id", "status", *(F.element_at("checks", F.lit(c)).alias(n) for n, c in names.items()), F.col("noisy_refinement.unresolved_wrong_claims").cast("bigint").alias("unresolved"))

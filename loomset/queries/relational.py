@@ -30,9 +30,9 @@ def q18(t):
     return carried.groupBy("user_id", F.col("seg").cast("bigint").alias("seg")).agg(F.count("*").alias("n"), F.max("carried").alias("last_carried"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-@query("q27_left_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("q27_left_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def q27(t):
-    return t("customer").select("c_custkey", "c_name").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t("customer").select("c_custkey", "c_name").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("q28_left_semi", "SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45)")

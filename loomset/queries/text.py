@@ -99,12 +99,13 @@ _TOKENS = """list_filter(list_distinct(list_transform(regexp_extract_all({0}, '[
 _STOPS = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
 
 
-@query("q24_token_overlap", f"""WITH b AS MATERIALIZED (SELECT item_id, {_TOKENS.format('text', _STOPS)} AS bt FROM benchmark), d AS MATERIALIZED (SELECT doc_id, (doc_id % 40)::bigint AS item_id, {_TOKENS.format('text', _STOPS)} AS dt FROM documents)
+@query("q24_token_overlap", f"""WITH b AS MATERIALIZED (SELECT item_id, {_TOKENS.format('text', _STOPS)} AS bt FROM benchmark), d AS MATERIALIZED (SELECT doc_id, (doc_id % (SELECT count(*) FROM benchmark))::bigint AS item_id, {_TOKENS.format('text', _STOPS)} AS dt FROM documents)
 SELECT doc_id, item_id, len(list_intersect(bt, dt))::bigint AS shared, round(len(list_intersect(bt, dt)) / nullif(len(bt), 0)::double, 6) AS ratio FROM d JOIN b USING (item_id) WHERE len(bt) > 0""")
 def q24(t):
     """Every document against the item of its number: distinct tokens shared."""
     b = t("benchmark").select("item_id", alignment_tokens(F.col("text")).alias("bt"))
-    d = t("documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), alignment_tokens(F.col("text")).alias("dt"))
+    n = F.nullif(t("benchmark").agg(F.count("*")).scalar(), F.lit(0))
+    d = t("documents").select("doc_id", (F.col("doc_id") % n).alias("item_id"), alignment_tokens(F.col("text")).alias("dt"))
     j = d.join(b, "item_id").where(F.size("bt") > 0)
     return j.select("doc_id", "item_id", overlap(F.col("bt"), F.col("dt")).alias("shared"), F.round(overlap_ratio(F.col("bt"), F.col("dt")), 6).alias("ratio"))
 
@@ -116,13 +117,14 @@ def q42(t):
 
 
 @query("q43_json_recovery", """WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"a": [1, 2' WHEN 3 THEN '' WHEN 4 THEN 'note ' || props || ' end' ELSE '{"a": [1, 2,]}' END AS raw FROM events)
-SELECT CASE event_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN 'json_repaired' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'json' ELSE 'json_repaired' END AS outcome, count(*) AS n FROM r GROUP BY 1""")
+SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'json_repaired' WHEN 3 THEN 'invalid_json' WHEN 5 THEN 'json_repaired' ELSE 'json' END AS outcome, CASE event_id % 6 WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"a": [1, 2]}' WHEN 3 THEN NULL WHEN 5 THEN '{"a": [1, 2]}' ELSE props END AS value,
+CASE WHEN event_id % 6 IN (0, 4) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM r JOIN events USING (event_id)""")
 def q43(t):
     """Answers of models, recovered: valid JSON by built-ins, the rest in Arrow batches."""
     k = F.col("event_id") % 6
     raw = F.when(k == 0, F.col("props")).when(k == 1, "[1, 2]").when(k == 2, '{"a": [1, 2').when(k == 3, "").when(k == 4, F.concat(F.lit("note "), "props", F.lit(" end"))).otherwise('{"a": [1, 2,]}')
     parsed = jsonx.recovered(t("events").select("event_id", raw.alias("raw")), "raw")
-    return parsed.groupBy(F.coalesce("parsed.format", "parsed.error_type").alias("outcome")).agg(F.count("*").alias("n"))
+    return parsed.select("event_id", F.coalesce("parsed.format", "parsed.error_type").alias("outcome"), F.col("parsed.json").alias("value"), F.get_json_object("parsed.json", "$.k").cast("bigint").alias("k"))
 
 
 @query("q45_persona_hash", """SELECT c_custkey, ('0x' || substr(sha256(c_name), 1, 8))::bigint % 5 AS persona, sha256(c_name) AS prompt_sha256, regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g')[1:80] AS slug FROM customer""")
@@ -144,6 +146,25 @@ def q50(t):
     return matched.groupBy("match.status").agg(F.count("*").alias("n"))
 
 
+_FOLDED = r"trim(regexp_replace(lower(replace(replace(replace({0}, '…', '...'), '`', ' '), '*', ' ')), '\s+', ' ', 'g'))"
+_SPAN = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN trim(substr(text, 11, 60)) WHEN 2 THEN translate(trim(substr(text, 11, 60)), 'abcdefghijklmnopqrstuvwxyz ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ`') ELSE 'qqxz ' || doc_id || ' zzxq' END"
+
+
+_LONG = "length(regexp_replace(span, '^[ \t\r\n.;:]+|[ \t\r\n.;:]+$', '', 'g')) >= 8"
+
+
+@query("q57_span_tiers", f"""WITH d AS (SELECT doc_id, text, {_SPAN} AS span FROM documents WHERE regexp_full_match(text, '[ -~\n]*'))
+SELECT doc_id, CASE WHEN span = '' THEN 'empty' WHEN text = '' THEN 'invalid_source' WHEN contains(text, span) THEN 'exact' WHEN {_LONG} AND contains({_FOLDED.format('text')}, {_FOLDED.format('span')}) THEN 'normalized' ELSE 'unmatched' END AS status,
+CASE WHEN span <> '' AND text <> '' AND (contains(text, span) OR {_LONG} AND contains({_FOLDED.format('text')}, {_FOLDED.format('span')})) THEN 1.0 ELSE 0.0 END::double AS score FROM d""")
+def q57(t):
+    """The tiers of span alignment that SQL can say, over the whole of every document of plain characters: empty, exact, normalised, unmatched."""
+    k, start = F.col("doc_id") % 4, F.trim(F.substring("text", 11, 60))
+    upper = F.translate(start, "abcdefghijklmnopqrstuvwxyz ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ`")
+    span = F.when(k == 0, "").when(k == 1, start).when(k == 2, upper).otherwise(F.concat(F.lit("qqxz "), F.col("doc_id").cast("string"), F.lit(" zzxq")))
+    d = t("documents").where(F.col("text").rlike(r"\A[ -~\n]*\z")).select("doc_id", "text", span.alias("span"))
+    return spans.match_spans(d, "span", "text").select("doc_id", "match.status", "match.score")
+
+
 @query("q51_patch_section_extract", f"""WITH d AS (SELECT doc_id, '# Intro' || chr(10) || text || chr(10) || '# Steps to reproduce' || chr(10) || 'do ' || doc_id || chr(10) || 'then' || chr(10) || '## Next' || chr(10) || 'x' || chr(10) || 'diff --git a/f' || doc_id || '.py b/f' || doc_id || '.py' || chr(10) || '@@ -1 +1 @@ class A: def b(self)' || chr(10) || '+ y' AS raw FROM documents)
 SELECT doc_id, 'do ' || doc_id || chr(10) || 'then' AS section, 'f' || doc_id || '.py' AS files, 'f' || doc_id || '.py::A' AS pool_symbols, 'f' || doc_id || '.py::b' AS gold_symbols, 1::bigint AS added,
 'diff --git a/f' || doc_id || '.py b/f' || doc_id || '.py' || chr(10) || '@@ -1 +1 @@ class A: def b(self)' || chr(10) || '+ y' || chr(10) AS patch FROM d""")

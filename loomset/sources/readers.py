@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from loomset.functions.text import first_nonempty, strip
 from loomset.operators.dedup import last_by
@@ -36,8 +37,17 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """Adds the order of rows in their files: file by file, place by place."""
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+    """Adds the order of rows in the files of a scan, as a struct that sorts: by file, by the split's place in it, and by place in the split.
+
+    Spark packs splits into tasks by size, so the number alone doesn't follow the files; within one split it does. A frame that isn't a scan has
+    the number alone.
+    """
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    try:
+        df.select(file, block)
+    except AnalysisException:
+        file, block = F.lit(None).cast("string"), F.lit(None).cast("long")
+    return df.withColumn("ordinal", F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def csv_text(spark: SparkSession, path: str) -> DataFrame:
@@ -73,14 +83,15 @@ def normalised(raw: DataFrame, source: str | None = None) -> DataFrame:
     }
     cased = raw.sparkSession.conf.get("spark.sql.caseSensitive")
     names = ISSUE_COLUMNS if cased == "true" else tuple(c for c in ISSUE_COLUMNS if c not in ("fail_to_pass", "pass_to_pass"))
-    return raw.select(*(merged.get(c, value(c)).alias(c) for c in names)).where(F.col("instance_id") != "")
+    order = ["ordinal"] if "ordinal" in have else []  # of with_ordinal()
+    return raw.select(*(merged.get(c, value(c)).alias(c) for c in names), *order).where(F.col("instance_id") != "")
 
 
 def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     """Normalised records of several sources in the order given, each with its place: source, then row."""
     out = None
     for n, (name, raw) in enumerate(sources.items()):
-        part = with_ordinal(normalised(raw, name)).withColumn("ordinal", F.struct(F.lit(n).alias("source"), F.col("ordinal").alias("row")))
+        part = normalised(with_ordinal(raw), name).withColumn("ordinal", F.struct(F.lit(n).alias("source"), F.col("ordinal").alias("row")))
         out = part if out is None else out.unionByName(part)
     return out
 

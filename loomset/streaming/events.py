@@ -38,13 +38,14 @@ def stream(spark: SparkSession, path: str, schema, kind: str = "parquet", files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
 
 
-def upsert_batches(updates: DataFrame, path: str, key: str, checkpoint: str):
-    """Keeps an index up to date. Versions alternate between two folders, so a batch that runs again reads what it read before."""
+def upsert_batches(updates: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None):
+    """Keeps an index up to date: of a micro-batch's rows of a key that with the greatest `order` counts (where it is told; of equals, and without
+    it, the one whose content sorts last). Versions alternate between two folders, so a batch that runs again reads what it read before."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old, new = f"{path}/v{(number + 1) % 2}", f"{path}/v{number % 2}"
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*(c for c in batch.columns if c != key))).alias("r")).select("r.*")
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*([order] if order else []), *(c for c in batch.columns if c not in (key, order)))).alias("r")).select("r.*")
         known = spark.read.schema(batch.schema).parquet(old) if number else batch.limit(0)
         upsert(known, latest, key).write.mode("overwrite").parquet(new)
 
@@ -55,16 +56,14 @@ CHAIN = "instance_id string, attempts int, last_status string, accepted_after_re
 
 
 def attempt_states(attempts: DataFrame) -> DataFrame:
-    """A stream's attempt chains by instance: how many, the last status, whether a retry was accepted."""
+    """A stream's attempt chains by instance: how many, the last status, whether a retry was ever accepted."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, status = state.get if state.exists else (0, None)
-        retried = False
-        for batch in batches:
-            for s in batch.sort_values("attempt_id")["status"]:
-                retried = n > 0 and s == "accepted" and status != "accepted"
-                n, status = n + 1, s
-        state.update((n, status))
+        n, status, retried = state.get if state.exists else (0, None, False)
+        for s in pd.concat(list(batches)).sort_values("attempt_id")["status"]:  # a key's attempts in a micro-batch are a few
+            retried = retried or (n > 0 and s == "accepted" and status != "accepted")
+            n, status = n + 1, s
+        state.update((n, status, retried))
         yield pd.DataFrame([(key[0], n, status, retried)], columns=["instance_id", "attempts", "last_status", "accepted_after_retry"])
 
-    return attempts.groupBy("instance_id").applyInPandasWithState(step, CHAIN, "n int, status string", "update", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("instance_id").applyInPandasWithState(step, CHAIN, "n int, status string, retried boolean", "update", GroupStateTimeout.NoTimeout)

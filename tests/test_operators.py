@@ -113,7 +113,7 @@ def test_gate(spark):
     r = gate.gate(base).first()
     assert r.passed, r.hard_failures
     assert (r.status, r.action, r.scenario_fit, len(r.checks)) == ("accepted", "accept", True, 30)
-    for change, check, status in [
+    cases = [
         ({"suitable": F.lit(None).cast("boolean")}, "semantic_capsule_suitable", "manual_review_required"), ({"agent_paths": F.array(F.lit("$.oracle"))}, "agent_view_no_gold_or_leakage", "manual_review_required"), ({"agent_text": F.lit("see tests/x.py")}, "agent_view_no_gold_or_leakage", "rejected"),
         ({"intent": F.col("intent").withField("must_satisfy", F.array(F.lit("it uses the Hidden Cache class")))  , "units": F.concat("units", F.array(F.expr("named_struct('unit_id', 'U6', 'type', 'implementation_hint', 'text', 'the hidden cache class', 'active_by_default', false, 'expose_to_user', false)"))), "compact_unit_ids": F.concat("compact_unit_ids", F.array(F.lit("U6")))}, "non_goal_not_in_must_satisfy", "manual_review_required"),
         ({"turns": F.transform("turns", lambda t, i: t.withField("deactivates_claims", F.when(i == 2, F.array(F.lit("sliders keep their place"))).otherwise(t["deactivates_claims"])))}, "non_goal_not_in_must_satisfy", "manual_review_required"),
@@ -122,8 +122,9 @@ def test_gate(spark):
         ({"is_template": F.lit(True)}, "template_dialogue_specific", "manual_review_required"),
         ({"turns": F.slice("turns", 1, 2)}, "dialogue_turn_count_valid", "manual_review_required"), ({"gold_files": F.array().cast("array<string>")}, "keep_localization_metrics", "manual_review_required"),
         ({"turns": F.transform("turns", lambda t: t.withField("revises_turns", F.array().cast("array<string>")))}, "unresolved_wrong_claims_absent", "manual_review_required"),
-    ]:
-        r = gate.gate(base.withColumns(change)).first()
+    ]
+    rows = [base.withColumns(change).select(*base.columns).first() for change, _, _ in cases]
+    for r, (_, check, status) in zip(gate.gate(spark.createDataFrame(rows, base.schema).coalesce(1)).collect(), cases):
         assert not r.checks[check] and r.status == status and not r.passed, (check, r.status, r.hard_failures)
 
 
@@ -270,3 +271,29 @@ def test_streams_are_their_batches(spark, tmp_path):
     q = events.attempt_states(s).writeStream.outputMode("update").format("memory").queryName("chains").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.instance_id, r.attempts, r.accepted_after_retry) for r in spark.sql("select * from chains").collect()} == {("a", 2, True), ("b", 1, False)}
+
+
+def test_rows_keep_the_order_of_their_files(spark, tmp_path):
+    import json
+
+    from loomset.sources import readers
+
+    one = lambda i, repo: json.dumps({"instance_id": i, "repo": repo}) + "\n"
+    (tmp_path / "b.jsonl").write_text("".join(one(f"i{k % 50}", f"b{k}") for k in range(20000)))
+    (tmp_path / "a.jsonl").write_text("".join(one(f"i{k}", f"a{k}") for k in range(5)))
+    raw = readers.json_lines(spark, str(tmp_path))
+    rows = readers.with_ordinal(raw).orderBy("ordinal").select("repo").collect()
+    assert [r.repo for r in rows] == [f"a{k}" for k in range(5)] + [f"b{k}" for k in range(20000)]
+    first = dedup.priority_dedup(readers.union_sources({"full": raw}), "instance_id", "source_name", "ordinal")
+    assert {r.instance_id: r.repo for r in first.collect()} == {f"i{k}": f"a{k}" if k < 5 else f"b{k}" for k in range(50)}
+    last = readers.latest_index(spark, str(tmp_path), "instance_id string, repo string")
+    assert {r.instance_id: r.repo for r in last.collect()} == {f"i{k}": f"b{19950 + k}" for k in range(50)}
+
+
+def test_paths_without_a_bound(spark):
+    from loomset.functions import jsonx
+
+    deep = '{"a": ' * 60 + "1" + "}" * 60
+    df = spark.range(3).selectExpr("id", f"CASE id WHEN 0 THEN '{deep}' WHEN 1 THEN 'bad' ELSE '[{{\"b\": []}}]' END AS raw")
+    got = [(r.id, r.path) for r in jsonx.key_paths(df, "id", "raw").collect()]
+    assert len(got) == 61 and (2, "$[0].b") in got and (0, "$" + ".a" * 60) in got
