@@ -90,15 +90,16 @@ def test_status_and_retry(spark):
     assert one(spark, status.transient(F.lit("x"), F.lit(0), F.lit(1))) and not one(spark, status.transient(F.lit("x"), F.lit(1), F.lit(1))) and not one(spark, status.transient(F.lit("an Exception"), F.lit(0), F.lit(1)))
 
 
-TURN = "array<struct<turn_id: string, operation: string, revises_turns: array<string>, deactivates_claims: array<string>, activates_claims: array<string>>>"
+TURN = "array<struct<turn_id: string, operation: string, revises_turns: array<string>, deactivates_claims: array<string>, activates_claims: array<string>, claim_status: string>>"
 
 
 def test_claim_resolution(spark):
-    t = lambda i, op, r=(), d=(), a=(): (f"T{i}", op, list(r), list(d), list(a))
+    t = lambda i, op, r=(), d=(), a=(), claim=None: (f"T{i}", op, list(r), list(d), list(a), claim)
     first = t(1, "initial_imperfect_report")
     cases = [
         ([first, t(2, "speculative_hypothesis"), t(3, "correct_previous_claim", ["T2"])], []), ([first, t(2, "speculative_hypothesis"), t(3, "confirm_final_active_intent")], ["T2"]),
         ([first, t(2, "mistaken_clarification"), t(3, "retract_previous_claim", d=["x"])], []), ([first, t(2, "narrow_scope", a=["x"]), t(3, "speculative_hypothesis")], ["T3"]),
+        ([first, t(2, "add_detail", claim="mistaken"), t(3, "add_detail", claim="active")], ["T2"]), ([first, t(2, "add_detail", claim="speculative"), t(3, "narrow_scope", a=["x"])], []),
     ]
     for turns, want in cases:
         df = spark.createDataFrame([(turns,)], f"t {TURN}")

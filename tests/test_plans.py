@@ -7,8 +7,8 @@ import pytest
 from loomset.queries import QUERIES
 from tests.conftest import SF
 
-#: Queries whose rest goes to Arrow batches: an automaton over texts, repair of JSON, fuzzy spans.
-PYTHON = {"q23_containment_join", "q43_json_recovery", "q50_span_match"}
+#: Queries of which a part goes to Arrow batches: an automaton over texts, paths of any depth, repair of JSON, fuzzy spans.
+PYTHON = {"q23_containment_join", "q42_key_paths", "q43_json_recovery", "q50_span_match", "q57_span_tiers"}
 
 
 def plan_of(df):
