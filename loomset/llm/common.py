@@ -151,3 +151,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = digest
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components' roots, moved) once `links` (a, b) are added to `roots` (node, root), as components() gives them; moved has the old roots (root) whose
+    components have a smaller one (to). Only links between different components are contracted."""
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    moved = kept(components(between))
+    new = moved.join(roots, "node", "left_anti")
+    moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return kept(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(new)), moved

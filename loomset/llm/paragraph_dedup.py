@@ -340,7 +340,12 @@ def _pairs(rows: DataFrame, other: str) -> DataFrame:
 
 
 def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): keys of different paragraphs at the threshold or more, enough to connect whatever all pairs of each bucket connect.
+    """(a, b): keys of different paragraphs at the threshold or more, enough to connect whatever all pairs of each bucket connect."""
+    return linked(docs, paragraphs, threshold)[0]
+
+
+def linked(docs: DataFrame, paragraphs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) of paragraph_links(), and the components (node, root) that they make.
 
     A bucket's members are compared with three of them and not with each other. One is the member that collides most over all its buckets:
     copies that were each changed on their own are near their original and not each other, and it is the original that they all collide with.
@@ -358,7 +363,7 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
     pairs = common.kept(_pairs(with_centres(met), "c"))
     sets = common.kept(_shingle_sets(docs, _colliding(pairs)))
     links = common.kept(_verified(pairs, sets, threshold))
-    roots = common.components(links)
+    roots = common.kept(common.components(links))
 
     def rooted_of(m: DataFrame, roots: DataFrame) -> DataFrame:
         out = m.join(roots, m.p == roots.node, "left")
@@ -371,7 +376,7 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
     rooted = rooted_of(met, roots)
     waiting = common.kept(rooted.join(open_buckets(rooted), "key").where("not centre").select("p", "root").distinct())
     if waiting.isEmpty():
-        return links
+        return links, roots
     held = common.kept(sets.join(waiting.select("p").distinct(), "p"))
     sketches = common.kept(_sketches(held))
     met = _starred(_prefixes(held, threshold))
@@ -380,20 +385,19 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float = T
     more = common.kept(_pairs(more.join(sketches, "p").join(other, "c").where(_may_reach(F.col("sketch"), F.col("c_sketch"), threshold)), "c"))
     found = common.kept(_verified(more, sets, threshold))
     pairs, links = pairs.unionByName(more), links.unionByName(found)
-    rooted, n = common.kept(rooted_of(met, common.components(links)).join(sketches, "p")), CENTRES
+    roots, _ = common.joined(roots, found)
+    rooted, n = common.kept(rooted_of(met, roots).join(sketches, "p")), CENTRES
     while True:
         split = common.kept(rooted.join(open_buckets(rooted), "key"))
         if split.isEmpty():
-            return links
+            return links, roots
         order = Window.partitionBy("key").orderBy(F.col("root") == F.col("main"), F.desc("degree"), F.xxhash64("p", "key"), "p")
         chosen = common.kept(split.where("not centre").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("key", F.col("p").alias("c"), F.col("root").alias("c_root"), F.col("sketch").alias("c_sketch")))
         more = _pairs(split.join(chosen, "key").where((F.col("root") != F.col("c_root")) & _may_reach(F.col("sketch"), F.col("c_sketch"), threshold)).select("p", "c"), "c")
         more = common.kept(more.join(pairs, ["a", "b"], "left_anti"))
         found = common.kept(_verified(more, sets, threshold))
         pairs, links = pairs.unionByName(more), links.unionByName(found)
-        known = split.select("p", "root").distinct()
-        ends = [known.select(F.col("p").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
-        merged = common.components(found.join(ends[0], "a").join(ends[1], "b"), "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots, merged = common.joined(roots, found)
         asked = chosen.select("key", F.col("c").alias("p"), F.lit(True).alias("asked"))
         rooted = split.drop("main").join(merged, "root", "left").join(asked, ["key", "p"], "left")
         rooted = rooted.select("p", "key", "degree", "sketch", F.coalesce("to", "root").alias("root"), (F.col("centre") | F.coalesce("asked", F.lit(False))).alias("centre"))
@@ -412,8 +416,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_WORD
     """
     found = common.kept(units(docs, least).withColumn("anchored", F.col("kind") == "anchor"))
     lines = found.where("not anchored")
-    links = paragraph_links(docs, lines, threshold)
-    roots = common.components(links)
+    _, roots = linked(docs, lines, threshold)
     place = F.struct("doc_id", "start")
     classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = classes.join(roots, classes.k1 == roots.node, "left").withColumn("root", F.coalesce("root", "k1"))

@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,21 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_join_components(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    roots_of = lambda df: sorted((r.node, r.root) for r in df.collect())
+    roots, seen = common.components(frame(pairs[:30])), pairs[:30]
+    for more in (pairs[30:60], [], pairs[60:] + [(500, 501), (500, 501), (501, 400), (400, 3), (7, 7)]):
+        before = dict(roots_of(roots))
+        roots, moved = common.joined(roots, frame(more))
+        seen = seen + more
+        assert roots_of(roots) == roots_of(common.components(frame(seen)))
+        to, after = dict(roots_of(moved.toDF("node", "root"))), dict(roots_of(roots))
+        assert all(after[n] == to.get(r, r) for n, r in before.items())
+
+
 def test_shared_tables(spark):
     held, path = common.write_shared(spark.range(5).withColumn("x", F.lit("y")))
     assert held.count() == 5 and held.columns == ["id", "x"]
