@@ -22,8 +22,8 @@ def first_nonempty(*cs: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without ASCII white space at the ends; trim() takes blanks only."""
-    return F.regexp_replace(c, r"^[ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$", "")
+    """Without ASCII white space at the ends; trim() takes blanks only. A pattern that ends in $ would take the square of a run of blanks."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def lines(c: Column) -> Column:
@@ -53,14 +53,18 @@ def issue_type(c: Column) -> Column:
 
 
 def section(c: Column, names: list[str]) -> Column:
-    """The lines after the first one that has one of the names, up to the next heading."""
-    held = F.transform(lines(c), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    """The lines after the first one that has one of the names, up to the next heading.
+
+    One pass over the lines: what a lambda refers to outside itself is computed again for each element, so the lines, and those after the name,
+    are bound as elements of arrays of one.
+    """
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    first = lambda held, test: F.array_position(F.transform(held, test), F.lit(True)).cast("int")
     named = lambda x: F.lower(x).rlike("|".join(names))
-    at = F.array_min(F.transform(F.filter(held, lambda r: named(r["x"])), lambda r: r["i"]))
-    after = F.filter(held, lambda r: r["i"] > at)
-    heading = F.filter(after, lambda r: F.ltrim(r["x"]).startswith("#"))
-    end = F.coalesce(F.array_min(F.transform(heading, lambda r: r["i"])), F.lit(1 << 30))
-    return F.when(at.isNull(), "").otherwise(strip(F.array_join(F.transform(F.filter(after, lambda r: r["i"] < end), lambda r: r["x"]), "\n")))
+    heading = lambda x: F.ltrim(x).startswith("#")
+    after = lambda held: bound(first(held, named), lambda at: F.when(at == 0, F.array().cast("array<string>")).otherwise(F.slice(held, at + 1, F.size(held) - at)))
+    body = lambda held: bound(first(held, heading), lambda end: F.when(end == 0, held).otherwise(F.slice(held, F.lit(1), end - 1)))
+    return strip(F.array_join(bound(bound(lines(c), after), body), "\n"))
 
 
 def error_block(c: Column, most: int = 12) -> Column:

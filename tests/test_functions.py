@@ -63,6 +63,28 @@ def test_texts(spark):
     assert one(spark, text.uncertain(F.col("x")), x="Am I missing something?") and one(spark, text.initial_query(F.lit("a/b"), F.col("x"), F.lit("impatient")), x="T") == "I need a quick fix for `a/b`. I think the issue is: T."
 
 
+@pytest.mark.parametrize("x, want", [
+    ("Reproduce", ""), ("reproduce\n", ""), ("a\nREPRODUCE it\n  # next\nx", ""), ("a\nreproduce\n\n one \nreproduce again\ntwo\n \n\t# no heading\n # end\nx", "one \nreproduce again\ntwo\n \n\t# no heading"),
+    ("# reproduce\n# reproduce\nx", ""), ("no name\n# x", ""), ("", ""), (None, ""),
+])
+def test_section_bounds(spark, x, want):
+    assert one(spark, text.section(F.col("x"), ["steps to", "reproduce"]), x=x) == want
+
+
+def test_section_takes_its_lines_once(spark):
+    """The lines are split once and no lambda holds a column: each would be taken again for every line."""
+    plan = spark.createDataFrame([("",)], "x string").select(text.section(F.col("x"), ["reproduce"]).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    n = 20_000
+    long = F.concat(F.repeat(F.lit("some line\n"), n), F.lit("reproduce\n"), F.repeat(F.col("x"), n), F.lit("# next\nx"))
+    assert one(spark, F.sha2(text.section(long, ["reproduce"]), 256) == F.sha2(F.concat(F.repeat(F.lit("do it\n"), n - 1), F.lit("do it")), 256), x="do it\n")
+
+
+@pytest.mark.parametrize("x, want", [(" \t\n\r\x0b\x0ca b\x0c\x0b\r\n\t ", "a b"), ("\xa0a\u2028", "\xa0a\u2028"), ("a \u2028", "a \u2028"), (" \n", ""), ("", ""), (None, None)])
+def test_strip(spark, x, want):
+    assert one(spark, text.strip(F.col("x")), x=x) == want
+
+
 def test_prefilter_boundaries(spark):
     cases = [
         ((1, 1, 1, 1, 1, 1), 900, 2, True, 6, "keep", 100), ((1, 1, 1, 0, 1, 0), 250, 1, True, 5, "keep", 62), ((1, 1, 1, 0, 1, 0), 250, 1, True, 4, "deprioritize", 62), ((0, 1, 0, 0, 1, 0), 500, 2, True, 3, "deprioritize", 42),
